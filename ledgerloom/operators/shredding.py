@@ -10,6 +10,7 @@ and primary keys.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -86,54 +87,69 @@ def row_key(df: DataFrame) -> Column:
     return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
 
 
-def shred(df: DataFrame, root: str = "record") -> dict[str, DataFrame]:
+def link_positions(items: Column, reference: str, targets: Column, key: str, name: str, fields: Sequence[str]) -> Column:
+    """``items`` with a foreign key ``name`` in each element: the last position in ``targets`` whose ``key`` equals the
+    element's ``reference``; null where none does.  Positions count null elements; null elements stay null."""
+
+    def link(item: Column) -> Column:
+        place = F.array_max(F.transform(targets, lambda t, j: F.when(t[key] == item[reference], j)))
+        return F.when(item.isNotNull(), F.struct(*[item[f].alias(f) for f in fields], place.alias(name)))
+
+    return F.transform(items, link)
+
+
+def shred(df: DataFrame, root: str = "record", carry: Sequence[str] = (), key: Column | None = None) -> dict[str, DataFrame]:
     """The flat tables of ``df``, by relation name.
 
-    Root table: ``row_key`` and the inlined columns, one row per distinct record.  Child tables: ``row_key``,
+    Root table: ``row_key`` and the inlined columns.  Child tables: ``row_key``, the root columns in ``carry``,
     ``parent_pos`` (array of int), ``pos`` (int, from 0, null elements counted), ``is_null`` for null elements, for
-    maps ``map_key``, and the inlined columns.  A null or empty array yields no rows; repeated records yield one set of
-    rows; an input column called ``row_key``, ``pos`` or ``parent_pos`` keeps its name with ``src__`` before it.  A recursive
-    element's rows also carry their nesting in ``parent_pos``, and its table has the suffix of its level.
+    maps ``map_key``, and the inlined columns.  A null or empty array yields no rows.  Repeated records yield repeated
+    rows under one ``row_key``: ``distinct()`` of a table drops them, after pruning and without moving whole records.
+    A nested column that would be called as a key column gets ``src__`` before its name.  The plan is narrow: no
+    table needs a shuffle, and columns that a query does not use are not read.
     """
     taken = {"row_key", "pos", "parent_pos", "is_null", "map_key"}
     graph = schema_graph(df.schema, root)
-    keyed = df.select(row_key(df).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_r")).dropDuplicates(["_k"])
+    keyed = df.select((row_key(df) if key is None else key).alias("_k"), F.struct(*[F.col(f"`{c}`").alias(f"{c}") for c in carry]).alias("_c") if carry else F.lit(None).alias("_c"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_r"))
     out: dict[str, DataFrame] = {}
 
-    def named(alias: str) -> str:
-        return f"src{SEP}{alias}" if alias in taken else alias
+    def named(alias: str, used: set[str]) -> str:
+        return f"src{SEP}{alias}" if alias in used else alias
 
-    def emit(node: Node, base: DataFrame, parent: Column) -> None:
-        # base: _k, _at (positions down to this row, its own last), _r (element), _m (map key)
-        key = [F.col("_k").alias("row_key")]
+    def emit(node: Node, base: DataFrame) -> None:
+        # base: _k, _c, _at (positions down to this row, its own last), _r (element), _m (map key)
+        used = taken if node.kind == "root" else taken | set(carry)
+        head = [F.col("_k").alias("row_key")]
         if node.kind != "root":
-            key += [parent.alias("parent_pos"), F.element_at("_at", -1).alias("pos"), F.col("_r").isNull().alias("is_null")]
+            head += [F.col(f"_c.`{c}`") for c in carry]
+            head += [F.slice("_at", 1, F.size("_at") - 1).alias("parent_pos"), F.element_at("_at", -1).alias("pos"), F.col("_r").isNull().alias("is_null")]
         if node.kind == "map":
-            key.append(F.col("_m").alias("map_key"))
-        plain = [F.col("_r").alias("value")] if node.columns == [("value", "value")] and not isinstance(node.element, T.StructType) else [F.col(f"_r.{p}").alias(named(a)) for a, p in node.columns]
-        out[node.name] = base.select(*key, *plain)
+            head.append(F.col("_m").alias("map_key"))
+        scalar = node.kind != "root" and not isinstance(node.element, T.StructType)
+        plain = [F.col("_r").alias("value")] if scalar else [F.col(f"_r.{p}").alias(named(a, used)) for a, p in node.columns]
+        out[node.name] = base.select(*head, *plain)
         for child in node.children:
             at = F.col("_r." + ".".join(f"`{p}`" for p in child.path))
             if child.kind == "shared":
-                rows = base.filter(at.isNotNull()).select("_k", F.concat("_at", F.array(F.lit(0))).alias("_at"), at.alias("_r"))
+                rows = base.filter(at.isNotNull()).select("_k", "_c", F.concat("_at", F.array(F.lit(0))).alias("_at"), at.alias("_r"))
             elif child.kind == "map":
-                rows = base.select("_k", "_at", F.posexplode(F.map_entries(at)).alias("_p", "_e")).select("_k", F.concat("_at", F.array("_p")).alias("_at"), F.col("_e.key").alias("_m"), F.col("_e.value").alias("_r"))
+                rows = base.select("_k", "_c", "_at", F.posexplode(F.map_entries(at)).alias("_p", "_e"))
+                rows = rows.select("_k", "_c", F.concat("_at", F.array("_p")).alias("_at"), F.col("_e.key").alias("_m"), F.col("_e.value").alias("_r"))
             else:
-                rows = base.select("_k", "_at", F.posexplode(at).alias("_p", "_r")).select("_k", F.concat("_at", F.array("_p")).alias("_at"), "_r")
-            emit(child, rows, F.slice("_at", 1, F.size("_at") - 1))
+                rows = base.select("_k", "_c", "_at", F.posexplode(at).alias("_p", "_r")).select("_k", "_c", F.concat("_at", F.array("_p")).alias("_at"), "_r")
+            emit(child, rows)
 
-    emit(graph, keyed.withColumn("_at", F.array().cast("array<int>")), F.lit(None))
+    emit(graph, keyed.withColumn("_at", F.array().cast("array<int>")))
     return out
 
 
-def financial_tables(artifacts: DataFrame) -> dict[str, DataFrame]:
-    """Flat tables of financial artifacts; ``line_items`` carries the foreign keys ``artifact_id`` and ``period_pos``.
+def financial_tables(artifacts: DataFrame, carry: Sequence[str] = ("artifact_id",)) -> dict[str, DataFrame]:
+    """Flat tables of financial artifacts: ``artifacts``, ``periods``, ``line_items`` and the further repeated parts.
 
-    ``period_pos`` is the last position in the artifact's periods whose ``period_id`` equals the item's ``column_ref``,
-    null where none does.
+    Each child row carries ``artifact_id`` (and the other columns of ``carry``); ``line_items.period_pos`` is the
+    position of the item's period, the last one whose ``period_id`` equals the item's ``column_ref``, null where none
+    does.
     """
-    tables = shred(artifacts, "artifacts")
-    roots = tables["artifacts"].select("row_key", "artifact_id", "company_id", "run_id")
-    last = tables["periods"].filter(F.col("period_id").isNotNull()).groupBy("row_key", "period_id").agg(F.max("pos").alias("period_pos"))
-    items = tables["line_items"].join(last.withColumnRenamed("period_id", "column_ref"), ["row_key", "column_ref"], "left").join(roots, "row_key")
-    return tables | {"line_items": items}
+    fields = artifacts.schema["line_items"].dataType.elementType.names
+    linked = link_positions(F.col("line_items"), "column_ref", F.col("periods"), "period_id", "period_pos", fields)
+    return shred(artifacts.withColumn("line_items", linked), "artifacts", carry, row_key(artifacts))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import orphans, shredding, snapshots
+from ledgerloom.operators import orphans, shredding, snapshots, units
 from ledgerloom.session import table
 from ledgerloom.streaming import changefeed
 
@@ -40,11 +40,23 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_periods(spark: SparkSession, folder: str) -> DataFrame:
     """The flat table of periods."""
-    tables = shredding.financial_tables(table(spark, folder, "financial_artifact"))
-    periods = tables["periods"].filter("not is_null").join(tables["artifacts"].select("row_key", "artifact_id"), "row_key")
+    periods = shredding.financial_tables(table(spark, folder, "financial_artifact"))["periods"].filter("not is_null")
     return periods.select("artifact_id", F.col("pos").alias("period_pos"), "period_id", "currency_reported", "unit_scale", "fiscal_year").distinct()
 
 
+def _dollars(spark: SparkSession, folder: str) -> DataFrame:
+    return units.in_dollars(units.stated_values(table(spark, folder, "financial_artifact")), table(spark, folder, "fx_rate"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return units.agreeing_pairs(_dollars(spark, folder))
+
+
+def p5_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value with the unit it was read in, its dollars and whether the unit is unique."""
+    return _dollars(spark, folder).select("artifact_id", "line_pos", "period_id", "taxonomy_key", "currency", "scale", "usd", "unit_status")
+
+
 P1_SQL = """
 with inv as (select distinct company_id, run_id, source_id from source_inventory),
 span as (select company_id, source_id, min(run_id) lo, max(run_id) hi from inv group by all),
@@ -103,7 +115,7 @@ with p as (select artifact_id, periods, unnest(range(len(periods))) j from finan
 select distinct artifact_id, cast(j as int) period_pos, e.period_id, e.currency_reported, e.unit_scale, e.fiscal_year from q where e is not null
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p2_found, p2_intervals, p3_found, p4_found, p4_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_month, p2_found, p2_intervals, p3_found, p4_found, p4_periods, p5_found, p5_units)}
 SQL = {
     "p1_found": P1_SQL + "select * from found",
     "p1_by_month": P1_SQL + "select ref_table, run_month, orphan_kind, count(*) n_orphans from found group by all",
