@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import leakage, residue
+from ledgerloom.llm import entity_match, leakage, names, residue
 from ledgerloom.session import table
 
 
+def p6_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The matched pairs with their confidence."""
+    return entity_match.match(table(spark, folder, "registry_record"), table(spark, folder, "lei_record"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_matches(spark, folder).select("record_id", "lei")
+
+
+def p7_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Each readable list entry with the entity it belongs to."""
+    return names.linked_entries(table(spark, folder, "sdn_entry"), table(spark, folder, "watchlist_entry"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.same_entity_pairs(p7_entities(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
 
@@ -27,5 +45,5 @@ def p10_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_documents(table(spark, folder, "documents")).groupBy("reason").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_items, p10_found, p10_reasons)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p7_found, p7_entities, p8_found, p8_items, p10_found, p10_reasons)}
 SQL: dict[str, str] = {}
