@@ -15,36 +15,33 @@ than ``MARGIN``) or ``unknown`` (no statement).
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.shredding import financial_tables
+from ledgerloom.session import materialise
 
-#: How each currency is written (fixed values): ISO code, then patterns of its names and signs in English, German and French.
+#: How each currency is written (fixed values): ISO code, then its signs and its names in English, German and French.
 CURRENCIES = {
-    "USD": r"USD|US\$|U\.?S\.? ?-?dollars?|United States dollars?|dollars? américains?",
-    "EUR": r"EUR|€|euros?",
-    "GBP": r"GBP|GBX|GBp|£|pounds? sterling|British pounds?|Pfund Sterling|livres? sterling|pence",
-    "JPY": r"JPY|¥|(?:Japanese )?yens?(?: japonais)?|japanische[nr]? Yen",
-    "INR": r"INR|₹|Rs\.?|(?:Indian )?rupees?|indische[nr]? Rupien?|roupies? indiennes?",
-    "PLN": r"PLN|zł|(?:Polish )?zlotys?(?: polonais)?|polnische[nr]? Zloty",
-    "CZK": r"CZK|Kč|Czech (?:koruna|crowns?)|tschechische[nr]? Kronen?|couronnes? tchèques?",
-    "SEK": r"SEK|SKr|Swedish (?:kronor|kronas?|crowns?)|schwedische[nr]? Kronen?|couronnes? suédoises?",
-    "NOK": r"NOK|NKr|Norwegian (?:kroner|krones?|crowns?)|norwegische[nr]? Kronen?|couronnes? norvégiennes?",
-    "CHF": r"CHF|SFr\.?|Swiss francs?|Schweizer Franken|francs? suisses?",
+    "USD": ["US$", "US dollar", "US-dollar", "U.S. dollar", "United States dollar", "dollar américain", "dollars américains"],
+    "EUR": ["€", "euro"],
+    "GBP": ["GBX", "GBp", "£", "pound sterling", "pounds sterling", "British pound", "Pfund Sterling", "livre sterling", "livres sterling", "pence"],
+    "JPY": ["¥", "yen", "Japanese yen", "yen japonais", "yens japonais", "japanischen Yen"],
+    "INR": ["₹", "Rs.", "Rs", "rupee", "Indian rupee", "indischen Rupien", "indische Rupien", "roupie indienne", "roupies indiennes"],
+    "PLN": ["zł", "zloty", "Polish zloty", "polnischen Zloty", "zloty polonais", "zlotys polonais"],
+    "CZK": ["Kč", "Czech koruna", "Czech crown", "tschechischen Kronen", "tschechische Kronen", "couronnes tchèques"],
+    "SEK": ["SKr", "Swedish kronor", "Swedish krona", "Swedish crown", "schwedischen Kronen", "schwedische Kronen", "couronnes suédoises"],
+    "NOK": ["NKr", "Norwegian kroner", "Norwegian krone", "Norwegian crown", "norwegischen Kronen", "norwegische Kronen", "couronnes norvégiennes"],
+    "CHF": ["SFr.", "SFr", "Swiss franc", "Schweizer Franken", "francs suisses", "franc suisse"],
 }
-#: How each scale is written (fixed values), tried from the top; ``@`` stands for a currency of the table above.
-SCALES = [
-    (1e8, r"hundred millions?|100 ?millions?|100 ?m\b|100 ?mn\b"),
-    (1e7, r"\bcrores?\b|\bCr\b\.?"),
-    (1e5, r"\blakhs?\b|\blacs?\b"),
-    (1e9, r"\bbillions?\b|\bbn\b|\bMrd\b|\bMilliarden?\b|\bmilliards?\b|(?:@)bn\b"),
-    (1e6, r"\bmillions?\b|\bmn\b|\bm\b|\bMio\b|\bMillionen?\b|(?:@)mn?\b"),
-    (1e3, r"\bthousands?\b|['’]000|\bTsd\b|\bTausend\b|\bmilliers?\b|\bk\b|(?:@)k\b|\b[kT](?:[A-Z]{3})\b"),
-    (1e-2, r"\bpence\b|\bGBX\b|\bGBp\b"),
-]
+#: How each scale is written (fixed values), as words of their own.
+SCALES = {
+    1e9: ["billion", "bn", "mrd", "milliarde", "milliarden", "milliard"], 1e8: ["hundred million", "100 million", "100m", "100 m"], 1e7: ["crore", "cr"], 1e6: ["million", "mn", "m", "mio", "millionen"],
+    1e5: ["lakh", "lac"], 1e3: ["thousand", "'000", "tsd", "tausend", "millier", "k"], 1.0: ["whole"], 1e-2: ["pence", "gbx"],
+}
 SCALE_WORDS = {"ones": 1.0, "thousands": 1e3, "millions": 1e6, "billions": 1e9}
 #: Sum identities among figures of one record and period: total = sum of parts; expenses are reported below zero.
 IDENTITIES = [("gross_profit", ("revenue", "cost_of_sales")), ("total_assets", ("total_liabilities", "equity"))]
@@ -53,26 +50,37 @@ TOLERANCE = 0.005
 #: Two readings whose residuals differ by less (a factor of about 1.05) can't be told apart.
 MARGIN = 0.05
 _BAND = -math.log(1 - TOLERANCE)
-_ANY = "|".join(CURRENCIES.values())
+
+
+def _pattern(words: Sequence[str]) -> str:
+    return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+
+
+_MONEY = {w.lower(): code for code, names in CURRENCIES.items() for w in [code, *names]}
+_SCALE = {w: factor for factor, names in SCALES.items() for w in names}
+#: A currency, perhaps with a scale letter glued to it (kEUR, TEUR, EURm, £k, złbn), not inside another word.
+_MONEY_RX = rf"(?i)(?<![\p{{L}}])[kT]?({_pattern(list(_MONEY))})s?(?:k|mn?|bn)?(?![\p{{L}}])"
+_GLUED_RX = rf"(?i)(?<![\p{{L}}])(?:(?-i:([kT]))(?:{'|'.join(CURRENCIES)})|(?:{_pattern(list(_MONEY))})(k|mn?|bn))(?![\p{{L}}])"
+_SCALE_RX = rf"(?iU)(?<![\p{{L}}\d])({_pattern(list(_SCALE))})(?:s|\.)?(?![\p{{L}}])"
+
+
+def _lookup(table: dict, found: Column) -> Column:
+    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.try_element_at(entries, F.lower(found))
 
 
 def unit_currency(text: Column) -> Column:
-    """ISO code of the currency that a text states, else null.  Codes may have a scale letter before or after them."""
-    out = F.lit(None).cast("string")
-    for code, pattern in reversed(CURRENCIES.items()):
-        found = rf"(?i)(?<![\p{{L}}])(?:whole )?[kT]?(?:{pattern})(?:k|m|mn|bn)?(?![\p{{L}}])"
-        out = F.when(text.rlike(found), F.lit(code)).otherwise(out)
-    return out
+    """ISO code of the currency that a text states first, else null."""
+    return _lookup(_MONEY, F.regexp_extract(text, _MONEY_RX, 1))
 
 
 def unit_scale(text: Column) -> Column:
-    """The scale that a text states, else null."""
-    out = F.lit(None).cast("double")
-    for factor, pattern in reversed(SCALES):
-        flags = "" if factor == 1e-2 else "(?i)"
-        body = pattern.replace("@", _ANY).replace(r"\b[kT](?:[A-Z]{3})\b", r"(?-i:\b[kT](?:" + "|".join(CURRENCIES) + r"))\b")
-        out = F.when(text.rlike(f"(?U){flags}(?:{body})"), F.lit(factor)).otherwise(out)
-    return F.when(text.rlike(r"(?i)\bwhole\b") & out.isNull(), F.lit(1.0)).otherwise(out)
+    """The scale that a text states, else null; a word of its own counts before a letter glued to a currency."""
+    plain = F.regexp_replace(text, "’", "'")
+    pence = F.when(plain.rlike(r"\bGBp\b"), F.lit(1e-2))
+    glued = F.concat(F.regexp_extract(plain, _GLUED_RX, 1), F.regexp_extract(plain, _GLUED_RX, 2))
+    letters = {"k": 1e3, "t": 1e3, "m": 1e6, "mn": 1e6, "bn": 1e9}
+    return F.coalesce(_lookup(_SCALE, F.regexp_extract(plain, _SCALE_RX, 1)), pence, _lookup(letters, glued))
 
 
 def read_unit(text: Column) -> Column:
@@ -123,11 +131,12 @@ def stated_values(artifacts: DataFrame) -> DataFrame:
     key = "normalized_candidate__taxonomy_key"
     items = items.filter(F.col(key).isNotNull() & F.col("period_pos").isNotNull() & F.col("value_numeric").isNotNull() & ~F.isnan("value_numeric"))
     period = F.element_at("_periods", F.col("period_pos") + 1)
-    levels = [F.array(read_unit(cell_unit_text(F.col("value_raw")))), F.array(read_unit(row_unit_text(F.col("source_native_label")))), F.array(period["unit"]), F.col("_texts")]
-    return items.select(
-        "artifact_id", F.col("pos").alias("line_pos"), "company_id", "run_id", period["period_id"].alias("period_id"), period["fiscal_year"].alias("fiscal_year"), "scope",
-        F.col(key).alias("taxonomy_key"), "value_numeric", nearest_units(levels).alias("units"),
-    ).distinct()
+    items = items.select(
+        "artifact_id", F.col("pos").alias("line_pos"), "company_id", "run_id", period["period_id"].alias("period_id"), period["fiscal_year"].alias("fiscal_year"), "scope", F.col(key).alias("taxonomy_key"), "value_numeric",
+        F.array(read_unit(cell_unit_text(F.col("value_raw")))).alias("_cell"), F.array(read_unit(row_unit_text(F.col("source_native_label")))).alias("_row"), F.array(period["unit"]).alias("_column"), "_texts",
+    )
+    units = nearest_units([F.col(c) for c in ("_cell", "_row", "_column", "_texts")])
+    return items.withColumn("units", units).drop("_cell", "_row", "_column", "_texts").distinct()
 
 
 def _scale_word(scale: Column) -> Column:
@@ -193,6 +202,7 @@ def agreeing_pairs(values: DataFrame) -> DataFrame:
     figure = ["company_id", "run_id", "period_id", "scope", "taxonomy_key"]
     usable = values.filter(F.col("unit_status").isin("stated", "resolved") & F.col("usd").isNotNull()).dropna(subset=[*figure, "artifact_id"])
     band = F.when(F.col("usd") == 0, F.lit(None).cast("long")).otherwise(F.floor(F.log(F.abs("usd")) / _BAND))
+    usable = materialise(usable, "values")  # read four times below; what it comes from is parsed once
     usable = usable.withColumns({"side": F.signum("usd").cast("int"), "band": F.coalesce(band, F.lit(0).cast("long"))})
     classes = usable.select(*figure, "side", "band", "usd", "value_numeric").distinct()
     left = classes.select(*figure, "side", F.col("usd").alias("usd_a"), F.col("value_numeric").alias("num_a"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
