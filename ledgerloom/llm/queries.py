@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import entity_match, leakage, names, residue
+from ledgerloom.llm import entity_match, leakage, mixing, names, residue
 from ledgerloom.session import table
 
 
@@ -36,6 +36,16 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return p8_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents with their number of uses."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_target"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Report: each source's target and actual share."""
+    return mixing.actual_shares(p9_mix(spark, folder), table(spark, folder, "mix_target"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_documents(table(spark, folder, "documents")).select("doc_id")
 
@@ -45,5 +55,5 @@ def p10_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_documents(table(spark, folder, "documents")).groupBy("reason").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p7_found, p7_entities, p8_found, p8_items, p10_found, p10_reasons)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_matches, p7_found, p7_entities, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_reasons)}
 SQL: dict[str, str] = {}
