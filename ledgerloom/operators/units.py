@@ -152,6 +152,7 @@ def in_dollars(values: DataFrame, rates: DataFrame) -> DataFrame:
     ``rates`` (currency_code, fiscal_year, usd_per_unit) is a small fixed table.  Items with several candidates are
     few; only they and the figures they can be compared with take part in the joins of the resolution.
     """
+    values = materialise(values, "stated")  # the parsing plan would be repeated in every branch below
     rate = F.broadcast(rates.groupBy(F.col("currency_code").alias("currency"), "fiscal_year").agg(F.max("usd_per_unit").alias("rate")))
     each = values.withColumn("n_units", F.size("units")).withColumn("unit", F.explode_outer("units")).withColumn("currency", F.col("unit.currency")).withColumn("scale", F.col("unit.scale")).drop("unit", "units")
     each = each.join(rate, ["currency", "fiscal_year"], "left").withColumn("usd", F.col("value_numeric") * F.col("scale") * F.col("rate")).drop("rate")
@@ -202,7 +203,7 @@ def agreeing_pairs(values: DataFrame) -> DataFrame:
     figure = ["company_id", "run_id", "period_id", "scope", "taxonomy_key"]
     usable = values.filter(F.col("unit_status").isin("stated", "resolved") & F.col("usd").isNotNull()).dropna(subset=[*figure, "artifact_id"])
     band = F.when(F.col("usd") == 0, F.lit(None).cast("long")).otherwise(F.floor(F.log(F.abs("usd")) / _BAND))
-    usable = materialise(usable, "values")  # read four times below; what it comes from is parsed once
+    usable = materialise(usable, "values")  # read four times below
     usable = usable.withColumns({"side": F.signum("usd").cast("int"), "band": F.coalesce(band, F.lit(0).cast("long"))})
     classes = usable.select(*figure, "side", "band", "usd", "value_numeric").distinct()
     left = classes.select(*figure, "side", F.col("usd").alias("usd_a"), F.col("value_numeric").alias("num_a"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
