@@ -39,10 +39,12 @@ PARTS = {"trdg": "trading", "hldg": "holding", "prop": "property", "fin": "finan
 PART_WORDS = {"trading", "holding", "property", "finance", "invest", "services", "group", "international", "management", "capital"}
 #: A word of at least this share of all register names is a line of business.
 COMMON = 0.004
+#: It stands beside at least so many different words.
+BESIDE = 4
 #: Letters of a core that was cut short.
 CUT = 4
 FEATURES = ("f_name", "f_business", "f_part", "f_form", "f_country", "f_seat", "f_number")
-ROUNDS, STEPS, RIDGE = 4, 25, 0.02
+ROUNDS, STEPS, RIDGE, RIVALRY = 4, 25, 0.02, 40
 
 
 def fold(text: str | None) -> str:
@@ -90,13 +92,18 @@ def name_columns(df: DataFrame, business: list[str]) -> DataFrame:
 
 
 def business_words(names: DataFrame) -> list[str]:
-    """Words in at least a share ``COMMON`` of the names: at most 1 / COMMON times the words of a name, whatever the data."""
+    """Lines of business: words in at least a share ``COMMON`` of the names that stand beside several other words.
+
+    At most 1 / COMMON times the words of a name reach the driver, whatever the data.
+    """
     folded = F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " ")
-    words = names.select(F.explode(F.array_distinct(F.split(F.trim(folded), " "))).alias("w")).groupBy("w").count()
+    other = sorted({w for f, _, _ in FORMS for w in f.split()} | PART_WORDS | set(PARTS))
+    words = names.select(F.filter(F.array_distinct(F.split(F.trim(folded), " ")), lambda w: (F.length(w) > 2) & ~w.isin(other)).alias("ws"))
+    beside = words.select("ws", F.explode("ws").alias("w")).select("w", F.explode_outer(F.array_remove("ws", F.col("w"))).alias("v"))
+    counts = beside.groupBy("w").agg(F.count("*").alias("n"), F.approx_count_distinct("v").alias("beside"))
     total = names.select(F.count("*").alias("total"))
-    common = words.join(F.broadcast(total), F.col("count") >= F.greatest(F.lit(2), COMMON * F.col("total")))
-    forms = {w for f, _, _ in FORMS for w in f.split()}
-    return sorted(w for w in {fold(r.w).replace(" ", "") for r in common.select("w").toLocalIterator()} if len(w) > 3 and w not in forms and w not in PART_WORDS)
+    common = counts.join(F.broadcast(total), (F.col("n") >= COMMON * F.col("total")) & (F.col("beside") >= BESIDE))
+    return sorted(w for w in {fold(r.w).replace(" ", "") for r in common.select("w").toLocalIterator()} if len(w) > 3)
 
 
 def digits(column: str) -> Column:
@@ -172,7 +179,7 @@ def features(pairs: DataFrame) -> DataFrame:
     land = F.coalesce(F.col("l_country"), F.nullif(F.col("l_land"), F.lit("")))
     # Postcode and city say the same thing, so they count once: either agrees, nothing known, or moved.
     code, city = _same(F.col("r_postcode"), F.col("l_postcode")), _same(F.col("r_city"), F.col("l_city"))
-    seat = F.when((code == 1) | (city == 1), 1.0).when((code == 0) | (city == 0), 0.0).otherwise(0.5)
+    seat = F.when(code == 1, 1.0).when(city == 1, F.when(code == 0, 0.7).otherwise(0.9)).when((code == 0) | (city == 0), 0.0).otherwise(0.5)
     number = F.when(F.col("r_number").isNull() | F.col("l_number").isNull(), 0.5)
     masked = F.regexp_replace("l_number", r"\*+$", "")
     number = number.when(F.col("l_number").contains("*"), F.when(F.col("r_number").startswith(masked), 0.8).otherwise(0.0))
@@ -184,14 +191,19 @@ def features(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: What matched and unmatched vectors look like before any data, and how many pairs that belief is worth (regularisation).
+BELIEF = {"m": (0.95, 1.0, 1.0, 1.0, 0.9, 0.8, 0.8), "u": (0.7, 0.8, 0.7, 0.4, 0.3, 0.3, 0.4)}
+STRENGTH, SPREAD = 100.0, 0.03
+
+
 def fit_mixture(cells: np.ndarray, weight: np.ndarray, matched: np.ndarray, steps: int = STEPS) -> dict:
-    """Two Gaussians with diagonal, regularised variances over grid cells; ``matched``: posterior of each cell to start from."""
+    """Two Gaussians with diagonal, regularised means and variances over grid cells; ``matched``: posterior of each cell to start from."""
     model, g = {}, matched
     for _ in range(steps):
         for k, r in (("m", g), ("u", 1 - g)):
-            w = (r * weight)[:, None]
-            mean = (w * cells).sum(0) / max(w.sum(), 1e-9)
-            var = (w * (cells - mean) ** 2).sum(0) / max(w.sum(), 1e-9) + RIDGE
+            w, belief = (r * weight)[:, None], np.array(BELIEF[k])[: cells.shape[1]]
+            mean = ((w * cells).sum(0) + STRENGTH * belief) / (w.sum() + STRENGTH)
+            var = ((w * (cells - mean) ** 2).sum(0) + STRENGTH * (SPREAD + (belief - mean) ** 2)) / (w.sum() + STRENGTH) + RIDGE
             model[k] = (mean, var, w.sum())
         share = min(max(model["m"][2] / max(weight.sum(), 1e-9), 1e-6), 1 - 1e-6)
         model["share"] = share
@@ -243,13 +255,17 @@ def scored(pairs: DataFrame, grid: pd.DataFrame, p: np.ndarray) -> DataFrame:
 
 
 def compete(pairs: DataFrame) -> DataFrame:
-    """``held``: the posterior of a pair that is the best of its identifier and of its record, less the runner-up's claim; else 0.
+    """``held``: the posterior of a pair less the claims of its rivals for the same identifier or the same record.
 
-    Pairs with equal posteriors share it: if nothing tells them apart, neither is certain.
+    Posteriors of good pairs are all close to one, so rivals are weighed by how much less similar they are in sum (a
+    factor e for each 1 / RIVALRY): equally similar rivals share, and then neither is certain.
     """
-    rivals = Window.partitionBy("lei")
-    owners = Window.partitionBy("record_id")
     odds = F.col("p") / (1 - F.least(F.col("p"), F.lit(1 - 1e-9)))
-    out = pairs.withColumn("odds", odds).withColumns({"sum_l": F.sum("odds").over(rivals)}).withColumn("sum_r", F.sum("odds").over(owners))
-    share = F.col("odds") / (1 + F.greatest("sum_l", "sum_r"))
-    return out.withColumn("held", share).drop("odds", "sum_l", "sum_r")
+    out = pairs.withColumns({"odds": odds, "sim": sum((F.col(f) for f in FEATURES[1:]), F.col(FEATURES[0]))})
+    shares = []
+    for side in ("lei", "record_id"):
+        rivals = Window.partitionBy(side)
+        out = out.withColumn(f"w_{side}", F.col("odds") * F.exp(RIVALRY * (F.col("sim") - F.max("sim").over(rivals))))
+        out = out.withColumn(f"s_{side}", F.col(f"w_{side}") / (1 + F.sum(f"w_{side}").over(rivals)))
+        shares.append(f"s_{side}")
+    return out.withColumn("held", F.least(*shares)).drop("odds", "sim", "w_lei", "w_record_id", *shares)
