@@ -85,7 +85,8 @@ def unit_scale(text: Column) -> Column:
 
 def read_unit(text: Column) -> Column:
     """struct(currency, scale) of a statement; both null where it states neither."""
-    return F.struct(unit_currency(text).alias("currency"), unit_scale(text).alias("scale"))
+    # Most cells and labels state nothing: they are not searched.
+    return F.when(F.length(F.trim(text)) > 0, F.struct(unit_currency(text).alias("currency"), unit_scale(text).alias("scale")))
 
 
 def cell_unit_text(raw: Column) -> Column:
@@ -202,17 +203,18 @@ def agreeing_pairs(values: DataFrame) -> DataFrame:
     """
     figure = ["company_id", "run_id", "period_id", "scope", "taxonomy_key"]
     usable = values.filter(F.col("unit_status").isin("stated", "resolved") & F.col("usd").isNotNull()).dropna(subset=[*figure, "artifact_id"])
-    band = F.when(F.col("usd") == 0, F.lit(None).cast("long")).otherwise(F.floor(F.log(F.abs("usd")) / _BAND))
-    usable = materialise(usable, "values")  # read four times below
-    usable = usable.withColumns({"side": F.signum("usd").cast("int"), "band": F.coalesce(band, F.lit(0).cast("long"))})
-    classes = usable.select(*figure, "side", "band", "usd", "value_numeric").distinct()
-    left = classes.select(*figure, "side", F.col("usd").alias("usd_a"), F.col("value_numeric").alias("num_a"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    right = classes.select(*figure, "side", "band", F.col("usd").alias("usd_b"), F.col("value_numeric").alias("num_b"))
-    pairs = left.join(right, [*figure, "side", "band"]).filter(_agree("usd_a", "usd_b") & ~_agree("num_a", "num_b")).drop("band", "side")
-    members = usable.select(*figure, "usd", "value_numeric", "artifact_id", "line_pos")
+    # A figure is told by a 128-bit hash of its five fields, so that the shuffles below carry 16 bytes instead.
+    named = F.unhex(F.md5(F.concat_ws("\u001f", *figure))).alias("figure")
+    usable = materialise(usable.select(named, "usd", "value_numeric", "artifact_id", "line_pos"), "values")
+    usable = usable.withColumns({"side": F.signum("usd").cast("tinyint"), "band": F.coalesce(F.when(F.col("usd") != 0, F.floor(F.log(F.abs("usd")) / _BAND)), F.lit(0)).cast("int")})
+    classes = usable.select("figure", "side", "band", "usd", "value_numeric").distinct()
+    left = classes.select("figure", "side", F.col("usd").alias("usd_a"), F.col("value_numeric").alias("num_a"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    right = classes.select("figure", "side", "band", F.col("usd").alias("usd_b"), F.col("value_numeric").alias("num_b"))
+    pairs = left.join(right, ["figure", "side", "band"]).filter(_agree("usd_a", "usd_b") & ~_agree("num_a", "num_b")).drop("band", "side")
+    members = usable.select("figure", "usd", "value_numeric", "artifact_id", "line_pos")
     for x in ("a", "b"):
         renamed = members.withColumnsRenamed({"usd": f"usd_{x}", "value_numeric": f"num_{x}", "artifact_id": f"artifact_{x}", "line_pos": f"line_pos_{x}"})
-        pairs = pairs.join(renamed, [*figure, f"usd_{x}", f"num_{x}"])
+        pairs = pairs.join(renamed, ["figure", f"usd_{x}", f"num_{x}"])
     return pairs.filter("artifact_a < artifact_b").select("artifact_a", "line_pos_a", "artifact_b", "line_pos_b").distinct()
 
 
