@@ -30,7 +30,7 @@ def null_token(value: Column) -> Column:
 
 def remark_aliases(remarks: Column) -> Column:
     found = F.regexp_extract_all(F.coalesce(remarks, F.lit("")), F.lit(ALIAS), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda a: a != "")
+    return F.filter(F.transform(found, lambda a: F.trim(a)), lambda a: a != "")
 
 
 def join_parts(sep: str, *parts: Column) -> Column:

@@ -48,7 +48,7 @@ def bis_json(raw: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     return rows.select(
         F.lit("BIS-CSL").alias("list"), F.coalesce("id", F.lit("")).alias("entry_id"), F.coalesce("name", F.lit("")).alias("name"), F.coalesce("source", F.lit("")).alias("type"),
-        F.array_join(F.coalesce("programs", empty), "; ").alias("program"), "remarks", _filled(F.transform(F.coalesce("alt_names", empty), F.trim)).alias("aliases"),
+        F.array_join(F.coalesce("programs", empty), "; ").alias("program"), "remarks", _filled(F.transform(F.coalesce("alt_names", empty), lambda a: F.trim(a))).alias("aliases"),
     )
 
 
