@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -30,19 +31,37 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
     return spark
 
 
+_fallback: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-        spark.conf.set(CHECKPOINT_KEY, folder)
+        app = spark.sparkContext.applicationId
+        folder = _fallback.setdefault(app, f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}") if app not in _fallback else _fallback[app]
     return folder.rstrip("/")
 
 
+def own_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; it is removed when this program ends, if its session still lives."""
+    path = f"{shared_dir(spark)}/ledgerloom/{tag}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session may be gone; a file that stays is no error
+        pass
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: a lineage cut that any executor can re-read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerloom/{tag}-{uuid.uuid4().hex}"
+    path = own_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -12,14 +12,13 @@ an entity that owns a third of all events is no hot task.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import shared_dir
+from ledgerloom.session import own_path
 
 LIVE_TYPES = ("discovered", "retrieved", "canonicalized", "validated")
 GONE_TYPES = ("unavailable", "superseded")
@@ -102,7 +101,7 @@ def current_entities(events: DataFrame) -> DataFrame:
 def apply_change_feed(spark: SparkSession, path: str, columns: Sequence[str] = ("event_id", "event_time", "entity_id", "event_type", "ingest_seq")) -> DataFrame:
     """The current entities of the feed files at ``path``; an empty feed gives no entities."""
     schema = spark.read.parquet(path).select(*columns).schema
-    folder = f"{shared_dir(spark)}/ledgerloom/feed-{uuid.uuid4().hex}"
+    folder = own_path(spark, "feed")
     feed = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(BATCH_BYTES)).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern the path may be a file or a folder
     versions = stream_upserts(deliveries(feed), folder)
     fields = deliveries(spark.createDataFrame([], schema)).schema

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators.eventlog import entity_state
-from ledgerloom.session import shared_dir
+from ledgerloom.session import own_path
 from ledgerloom.streaming.changefeed import BATCH_BYTES, STATE_CONF, _settings
 
 
 def streamed_state(spark: SparkSession, path: str) -> DataFrame:
     """State of all entities after the feed files at ``path``; each batch overwrites its own version of the whole state."""
     schema = spark.read.parquet(path).select("company_id", "entity_id", "event_time", "event_id", "event_type", "ingest_seq").schema
-    folder = f"{shared_dir(spark)}/ledgerloom/state-{uuid.uuid4().hex}"
+    folder = own_path(spark, "state")
     feed = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(BATCH_BYTES)).parquet(f"{path[:-1]}[{path[-1]}]")
     versions: list[int] = []
 
