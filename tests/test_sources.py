@@ -143,3 +143,27 @@ def test_sinks(spark, tmp_path):
     assert sinks.publish(str(tmp_path / "run"), str(tmp_path / "latest"), ["a.json", "b.json"], passed=True) and (tmp_path / "latest" / "a.json").exists()
     with sinks.company_lock(str(tmp_path), "me"), pytest.raises(RuntimeError), sinks.company_lock(str(tmp_path), "you"):
         pass
+
+
+def test_runs_and_list_screening(spark, tmp_path):
+    from datetime import datetime
+
+    from ledgerloom.functions import dates
+    from ledgerloom.sources import runs
+
+    run = runs.create_run(str(tmp_path), "acme", "full_refresh", datetime(2024, 5, 6, 7, 8, 9), "ab12")
+    assert run.name == "20240506T070809Z-ab12" and (run / "structured").is_dir() and json.loads((run / "run_manifest.json").read_text())["mode"] == "full_refresh"
+    with pytest.raises(FileExistsError):
+        runs.create_run(str(tmp_path), "acme", "full_refresh", datetime(2024, 5, 6, 7, 8, 9), "ab12")
+    for mode, token in (("nonsense", "ab12"), ("full_refresh", "AB")):
+        with pytest.raises(ValueError):
+            runs.create_run(str(tmp_path), "acme", mode, datetime(2024, 1, 1), token)
+    (tmp_path / "bis.json").write_text(json.dumps({"results": [{"id": "1", "name": "Acme Bad Corp"}]}))
+    asked = spark.createDataFrame([("ACME, bad corp",), ("bad corp",), ("bad",)], "query string")
+    assert rows(runs.screen_list(asked, "BIS-CSL", str(tmp_path / "bis.json"))) == [("ACME, bad corp", "1", "exact"), ("bad corp", "1", "partial")]
+    with pytest.raises(ValueError, match="unknown list"):
+        runs.screen_list(asked, "NONE", "x")
+    report = spark.createDataFrame([("b", 1, False, 2), ("a", 0, True, 0)], "gate string, ordinal int, passed boolean, n_problems int")
+    assert "- a: PASS — 0 problems\n- b: FAIL — 2 problems" in runs.report_markdown(report)
+    t = spark.createDataFrame([("2024-05-06T07:08:09Z", "junk")], "a string, b string").select(dates.iso_utc(dates.parse_iso(F.col("a"))), dates.compact_stamp(dates.parse_iso(F.col("a"))), dates.older_than(F.col("a"), F.lit("2024-12-01").cast("timestamp"), 180), dates.older_than(F.col("b"), F.lit("2024-12-01").cast("timestamp"), 180))
+    assert rows(t) == [("2024-05-06T07:08:09Z", "20240506T070809Z", True, False)]
