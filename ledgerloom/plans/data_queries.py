@@ -94,6 +94,12 @@ where (an is null and bn > 1) or (bn is null and nxt is not null)
   or (an is not null and bn is not null and (av.s is distinct from bv.s or (av.s = 'ok' and bv.s = 'ok' and av.h <> bv.h)))
 """
 
+P2_SPANS_SQL = P2_SQL[: P2_SQL.index("pair as")] + """y as (select company_id, source_id, run_id, n, v, lag(n) over w pn, lag(v) over w pv from x window w as (partition by company_id, source_id order by n)),
+z as (select *, sum(case when pn is null or n > pn + 1 or v.s is distinct from pv.s or (v.s = 'ok' and pv.s = 'ok' and v.h <> pv.h) then 1 else 0 end)
+  over (partition by company_id, source_id order by n) island from y)
+select company_id, source_id, min(run_id) first_run, max(run_id) last_run from z group by company_id, source_id, island
+"""
+
 P3_SQL = """
 with d as (select event_id, arg_max({'t': event_time, 'e': entity_id, 'k': event_type}, ingest_seq) v from example_source_registry group by all),
 ok as (select event_id, v.e entity_id, v.k k, try_cast(case when regexp_matches(v.t, '(Z|[+-]\\d\\d:\\d\\d)$') then v.t else v.t || 'Z' end as timestamptz) ts from d
@@ -120,6 +126,7 @@ SQL = {
     "p1_found": P1_SQL + "select * from found",
     "p1_by_month": P1_SQL + "select ref_table, run_month, orphan_kind, count(*) n_orphans from found group by all",
     "p2_found": P2_SQL,
+    "p2_intervals": P2_SPANS_SQL,
     "p3_found": P3_SQL,
     "p4_found": P4_SQL,
     "p4_periods": P4_PERIODS_SQL,
