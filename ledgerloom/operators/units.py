@@ -9,7 +9,8 @@ readings (texts that contradict each other), they are candidates, and the identi
 
 The combination with the smallest sum of squared log residuals is taken; ``unit_status`` is ``stated`` (one reading), ``resolved``
 (the identities single one out), ``ambiguous`` (no other value to compare with, or the two best readings are closer
-than ``MARGIN``) or ``unknown`` (no statement).
+than ``MARGIN``) or ``unknown`` (no statement).  ``check_units`` holds stated units against the same identities and flags
+those that contradict them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,8 @@ IDENTITIES = [("gross_profit", ("revenue", "cost_of_sales")), ("total_assets", (
 TOLERANCE = 0.005
 #: Two readings whose residuals differ by less (a factor of about 1.05) can't be told apart.
 MARGIN = 0.05
+#: Scales are powers of ten: from half a power on, another scale is nearer.
+OTHER_SCALE = math.log(10) / 2
 _BAND = -math.log(1 - TOLERANCE)
 
 
@@ -172,17 +176,8 @@ def resolve_units(several: DataFrame, known: DataFrame) -> DataFrame:
     # The same figure elsewhere: its mean log size stands for the group, so a group of any size is one row.
     same = live.groupBy(*figure).agg(F.avg(F.log(F.abs("usd"))).alias("implied"))
     hints = [several.select(*figure).distinct().join(same, figure).join(several.select(*item, *figure).distinct(), figure).select(*item, "implied")]
-    # Identities of one record and period: total = sum of parts, solved for each of the figures.
-    figures = live.groupBy(*block, "taxonomy_key").agg(F.avg("usd").alias("usd"))
-    for total, parts in IDENTITIES:
-        names = [total, *parts]
-        wide = figures.filter(F.col("taxonomy_key").isin(*names)).groupBy(*block).agg(*[F.max(F.when(F.col("taxonomy_key") == n, F.col("usd"))).alias(n) for n in names])
-        solved = {total: sum((F.col(p) for p in parts[1:]), F.col(parts[0]))}
-        for p in parts:
-            solved[p] = F.col(total) - sum((F.col(q) for q in parts if q != p), F.lit(0.0))
-        for name, value in solved.items():
-            implied = wide.select(*block, F.lit(name).alias("taxonomy_key"), F.log(F.nullif(F.abs(value), F.lit(0.0))).alias("implied")).dropna(subset=["implied"])
-            hints.append(several.select(*item, *block[1:], "taxonomy_key").distinct().join(implied, [*block, "taxonomy_key"]).select(*item, "implied"))
+    implied = implied_by_identities(live)
+    hints.append(several.select(*item, *block[1:], "taxonomy_key").distinct().join(implied, [*block, "taxonomy_key"]).select(*item, "implied"))
     union = hints[0]
     for h in hints[1:]:
         union = union.unionByName(h)
@@ -194,6 +189,43 @@ def resolve_units(several: DataFrame, known: DataFrame) -> DataFrame:
     return best.select(*item, "b.*", status.alias("unit_status")).drop("implied").select(*[c for c in known.columns])
 
 
+def implied_by_identities(live: DataFrame) -> DataFrame:
+    """(artifact_id, period_id, scope, taxonomy_key, implied): log size of a figure by the other figures of its record and
+    period; each of ``IDENTITIES`` (total = sum of parts) is solved for each of its figures."""
+    block = ["artifact_id", "period_id", "scope"]
+    figures = live.groupBy(*block, "taxonomy_key").agg(F.avg("usd").alias("usd"))
+    found = []
+    for total, parts in IDENTITIES:
+        names = [total, *parts]
+        wide = figures.filter(F.col("taxonomy_key").isin(*names)).groupBy(*block).agg(*[F.max(F.when(F.col("taxonomy_key") == n, F.col("usd"))).alias(n) for n in names])
+        solved = {total: sum((F.col(p) for p in parts[1:]), F.col(parts[0]))}
+        for p in parts:
+            solved[p] = F.col(total) - sum((F.col(q) for q in parts if q != p), F.lit(0.0))
+        found += [wide.select(*block, F.lit(name).alias("taxonomy_key"), F.log(F.nullif(F.abs(value), F.lit(0.0))).alias("implied")).dropna(subset=["implied"]) for name, value in solved.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def check_units(values: DataFrame) -> DataFrame:
+    """``values`` with the ``residual`` of stated units too, and whether it is so large that a unit of another scale fits
+    better (``contradicted``).
+
+    A stated unit is a combination of one candidate: it is held against the same figure elsewhere (its mean log size without
+    the item itself) and the identities of its record.  It stays as stated, since figures also differ for other reasons.
+    An item without any other value to compare with, or of zero dollars, has no residual and is not contradicted.
+    """
+    figure = ["company_id", "run_id", "period_id", "scope", "taxonomy_key"]
+    block = ["artifact_id", "period_id", "scope", "taxonomy_key"]
+    live = values.filter(F.col("unit_status").isin("stated", "resolved") & (F.col("usd") != 0))
+    size = F.log(F.abs("usd"))
+    same = live.groupBy(*figure).agg(F.sum(size).alias("_sum"), F.count("*").alias("_n"))
+    identities = implied_by_identities(live).groupBy(*block).agg(F.sum("implied").alias("_isum"), F.count("*").alias("_in"))
+    near = values.join(same, figure, "left").join(identities, block, "left")
+    other = F.when(F.col("_n") > 1, (F.col("_sum") - size) / (F.col("_n") - 1))
+    implied = (F.coalesce(other, F.lit(0.0)) + F.coalesce("_isum", F.lit(0.0))) / F.nullif(other.isNotNull().cast("int") + F.coalesce("_in", F.lit(0)), F.lit(0))
+    residual = F.when(F.col("unit_status") == "stated", F.pow(size - implied, 2)).otherwise(F.col("residual"))
+    return near.withColumn("residual", residual).withColumn("contradicted", F.coalesce(F.sqrt("residual") > OTHER_SCALE, F.lit(False))).select(*values.columns, "contradicted")
+
+
 def agreeing_pairs(values: DataFrame) -> DataFrame:
     """Pairs of items of two artifacts for one figure whose dollars agree while their stated numbers do not.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import orphans, shredding, snapshots, units
-from ledgerloom.session import table
+from ledgerloom.session import materialise, table
 from ledgerloom.streaming import changefeed
 
 
@@ -53,8 +53,9 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_units(spark: SparkSession, folder: str) -> DataFrame:
-    """Every value with the unit it was read in, its dollars and whether the unit is unique."""
-    return _dollars(spark, folder).select("artifact_id", "line_pos", "period_id", "taxonomy_key", "currency", "scale", "usd", "unit_status")
+    """Every value with the unit it was read in, its dollars, whether the unit is unique and whether other figures contradict it."""
+    values = units.check_units(materialise(_dollars(spark, folder), "dollars"))
+    return values.select("artifact_id", "line_pos", "period_id", "taxonomy_key", "currency", "scale", "usd", "unit_status", "residual", "contradicted")
 
 
 P1_SQL = """

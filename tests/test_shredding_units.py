@@ -97,3 +97,21 @@ def test_pairs_against_brute_force_and_resolution(spark):
 def test_empty(spark):
     fx = spark.createDataFrame([], "currency_code string, fiscal_year long, usd_per_unit double")
     assert units.agreeing_pairs(units.in_dollars(units.stated_values(spark.createDataFrame([], SCHEMA)), fx)).count() == 0
+
+
+def test_stated_units_are_held_against_identities(spark):
+    usd = lambda scale: [("FY", 2024, "USD", scale, False)]
+    data = [
+        art("a1", usd("ones"), [item(value=1000.0)]), art("a2", usd("thousands"), [item(value=1.01)]), art("a3", usd("millions"), [item(value=1.0)]),
+        art("b1", usd("thousands"), [item(value=5.0)], company="B"), art("b2", usd("thousands"), [item(value=5.0)], company="B"), art("c", usd("ones"), [item(value=7.0)], company="C"), art("d", usd("ones"), [item(value=0.0)], company="D"),
+    ]
+    fx = spark.createDataFrame([("USD", 2024, 1.0)], "currency_code string, fiscal_year long, usd_per_unit double")
+    values = units.in_dollars(units.stated_values(spark.createDataFrame(data, SCHEMA)), fx)
+    got = {r.artifact_id: r for r in units.check_units(values).collect()}
+    assert len(got) == len(data) and {r.unit_status for r in got.values()} == {"stated"}
+    assert [got[a].contradicted for a in ("a3", "b1", "b2", "c", "d")] == [True, False, False, False, False]
+    assert got["b1"].residual < 1e-9 and got["c"].residual is None and got["d"].residual is None
+    rows_ = [("z", i, "Z", "r", "FY", 2024, "consolidated", k, v, [("USD", s)]) for i, (k, v, s) in enumerate([("total_assets", 9.0, 1e3), ("total_liabilities", 4.0, 1e3), ("equity", 5.0, 1e6), ("revenue", 3.0, 1.0)])]
+    own = spark.createDataFrame(rows_, "artifact_id string, line_pos int, company_id string, run_id string, period_id string, fiscal_year long, scope string, taxonomy_key string, value_numeric double, units array<struct<currency: string, scale: double>>")
+    flags = {r.taxonomy_key: r.contradicted for r in units.check_units(units.in_dollars(own, fx)).collect()}
+    assert flags["equity"] and not flags["revenue"]
