@@ -11,10 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.eventlog import entity_state
+from ledgerloom.operators.merge import financial_observations, merge_financials
 from ledgerloom.operators.shredding import financial_tables
 
 RUN = ("company_id", "run_id")
 GATES = ["schemas_valid", "referential_integrity", "lineage_complete", "id_integrity", "financial_usability", "manifest_closure", "refresh_semantics", "conflict_visibility"]
+#: Gates that show what they find and always pass.
+VISIBLE = ["conflict_visibility"]
 
 
 def _blank(c: Column) -> Column:
@@ -89,6 +92,11 @@ def refresh_drops(log: DataFrame, inventory: DataFrame, latest: DataFrame) -> Da
     return expected.join(inventory.select(*RUN, "source_id").distinct(), [*RUN, "source_id"], "left_anti").select(*RUN, "source_id")
 
 
+def conflicts(artifacts: DataFrame) -> DataFrame:
+    """Figures of a run whose observations conflict."""
+    return merge_financials(financial_observations(artifacts)).filter("reason is not null").select(*RUN, "conflict_id", F.col("reason").alias("problem"))
+
+
 def missing_paths(manifest_paths: DataFrame, present: DataFrame) -> DataFrame:
     """Paths that a run manifest names but that are not among the files ``present`` (company_id, run_id, path)."""
     return manifest_paths.filter("path is not null").join(present, [*RUN, "path"], "left_anti")
@@ -114,13 +122,13 @@ def missing_classes(inventory: DataFrame, expected: list[str]) -> DataFrame:
 
 
 def gate_report(runs: DataFrame, problems: dict[str, DataFrame]) -> DataFrame:
-    """(company_id, run_id, gate, ordinal, passed, n_problems), one row per run and gate in the fixed order of gates."""
+    """(company_id, run_id, gate, ordinal, passed, n_problems), one row per run and gate of ``problems`` in the fixed order of gates."""
     named = [d.groupBy(*RUN).agg(F.count("*").alias("n")).withColumn("gate", F.lit(g)) for g, d in problems.items()]
     found = reduce(DataFrame.unionByName, named)
     gates = [g for g in GATES if g in problems]
     wide = runs.select(*RUN).distinct().select(*RUN, F.posexplode(F.array(*[F.lit(g) for g in gates])).alias("ordinal", "gate"))
     out = wide.join(found, [*RUN, "gate"], "left")
-    return out.select(*RUN, "gate", "ordinal", F.col("n").isNull().alias("passed"), F.coalesce("n", F.lit(0)).alias("n_problems"))
+    return out.select(*RUN, "gate", "ordinal", (F.col("n").isNull() | F.col("gate").isin(VISIBLE)).alias("passed"), F.coalesce("n", F.lit(0)).alias("n_problems"))
 
 
 def runs_passed(report: DataFrame) -> DataFrame:

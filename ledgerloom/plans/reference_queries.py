@@ -291,6 +291,18 @@ def gate_report(spark: SparkSession, folder: str) -> DataFrame:
     return quality.gate_report(artifacts, problems)
 
 
+@registered()
+def gate_report_all(spark: SparkSession, folder: str) -> DataFrame:
+    """``gate_report`` with all gates that the tables allow, over the runs of artifacts and of the inventory."""
+    artifacts, inventory = table(spark, folder, "financial_artifact"), table(spark, folder, "source_inventory")
+    problems = {
+        "schemas_valid": validate.invalid_rows(artifacts, "financial_artifact", quality.RUN).unionByName(validate.invalid_rows(inventory, "source_inventory", quality.RUN)),
+        "referential_integrity": gate_referential_integrity(spark, folder), "lineage_complete": gate_lineage_complete(spark, folder), "id_integrity": gate_id_integrity(spark, folder),
+        "financial_usability": gate_financial_usability(spark, folder), "refresh_semantics": gate_refresh_semantics(spark, folder), "conflict_visibility": quality.conflicts(artifacts),
+    }
+    return quality.gate_report(artifacts.select(*quality.RUN).unionByName(inventory.select(*quality.RUN)), problems)
+
+
 @registered(f"""select distinct company_id, run_id, source_id, last_seen_at from source_inventory where try_cast(regexp_replace(last_seen_at, 'Z$', '') as timestamp) < timestamp '{NOW}' - interval 180 days""")
 def stale_sources(spark: SparkSession, folder: str) -> DataFrame:
     return quality.stale_sources(table(spark, folder, "source_inventory"), NOW)

@@ -101,6 +101,20 @@ def test_dossier_gates(spark):
     assert rows(quality.runs_passed(report)) == [("A", "r", False)]
 
 
+def test_report_of_all_gates(spark):
+    from ledgerloom.plans import reference_queries as q
+
+    folder = "/root/testdata/sf0.001"
+    got = q.gate_report_all(spark, folder).collect()
+    order = [g for g in quality.GATES if g != "manifest_closure"]
+    runs = {(r.company_id, r.run_id) for t in ("financial_artifact", "source_inventory") for r in spark.read.parquet(f"{folder}/{t}.parquet").collect()}
+    assert len(got) == len(runs) * 7 and {(r.gate, r.ordinal) for r in got} == {(g, i) for i, g in enumerate(order)}
+    n = {g: sum(r.n_problems for r in got if r.gate == g) for g in order}
+    assert n["refresh_semantics"] == q.gate_refresh_semantics(spark, folder).count() and n["conflict_visibility"] == q.merge_financials(spark, folder).filter("reason is not null").count() > 0
+    assert n["schemas_valid"] == q.validate_artifacts(spark, folder).count() + sum(r.n for r in q.validate_inventory(spark, folder).collect())
+    assert all(r.passed == (r.n_problems == 0 or r.gate == "conflict_visibility") for r in got)
+
+
 def test_rules(spark):
     df = spark.createDataFrame([("src_1", [("FY",), ("XX",), None], None)], "id string, periods array<struct<period_type: string>>, need string")
     rules = [validate.Rule("id", "pattern", "^src_[0-9a-f]{16}$"), validate.Rule("periods[].period_type", "enum", ["FY"]), validate.Rule("need", "required")]
