@@ -5,7 +5,8 @@
    uses) and each source's quota.  Only one row per source reaches the driver.
 3. ``split_quotas``: each source's documents lie in blocks by a hash; the quota is split over the blocks by a tree:
    every node divides its draws between its halves by a hypergeometric draw (exact counts, without replacement), so each shard
-   knows its quota without seeing the others.  A block then takes its documents in a permuted order.
+   knows its quota without seeing the others.  A block then takes its documents in a permuted order.  The chosen documents of
+   a block are a shard of the output, shuffled within it.
 4. Uses beyond the first come in whole passes over all documents of the source plus one partial pass, so no document is
    used more often than its source allows, and the uses of two documents of a source differ by one at most.
 """
@@ -88,17 +89,33 @@ def split_quotas(counts: np.ndarray, draws: int, rng: np.random.Generator) -> np
 
 
 def draw_split(left: int, right: int, k: int, rng: np.random.Generator) -> int:
-    """A hypergeometric draw; beyond the generator's range its normal limit, kept within the possible counts."""
+    """A hypergeometric draw of any size: how many of ``k`` draws without replacement fall to the left.
+
+    The generator's own draw ends at 10^9.  Beyond it, each item is taken with one probability (two binomial draws): given how
+    many were taken, all choices of that many are equally likely.  Then as many as are too many are given back, or as many as are
+    missing are taken from the rest, by the same draw; their number is about the square root of ``k``, so a few rounds do.
+    """
     if left + right < 10**9:
         return int(rng.hypergeometric(left, right, k))
-    n = left + right
-    mean = k * left / n
-    spread = np.sqrt(mean * (right / n) * (n - k) / max(n - 1, 1))
-    return int(np.clip(round(rng.normal(mean, spread)), max(0, k - right), min(k, left)))
+    if k > (left + right) // 2:  # what stays behind is a draw too
+        return left - draw_split(left, right, left + right - k, rng)
+    if k <= 1000:
+        x = 0
+        for i in range(k):
+            x += int(rng.integers(left + right - i) < left - x)
+        return x
+    share = k / (left + right)
+    x, y = int(rng.binomial(left, share)), int(rng.binomial(right, share))
+    if x + y > k:
+        return x - draw_split(x, y, x + y - k, rng)
+    return x + draw_split(left - x, right - y, k - x - y, rng)
 
 
 def mix(documents: DataFrame, targets: DataFrame, *, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, tokens, uses) of the chosen documents, ``uses`` from 1 to the source's ``max_repeats``.
+    """(doc_id, source, tokens, uses, shard, position) of the chosen documents, ``uses`` from 1 to the source's ``max_repeats``.
+
+    ``shard`` is the block, as a part of the output with all its sources, and ``position`` (from 0) the document's place in the shard's shuffled
+    order; the n-th pass over a shard takes, in that order, the documents with at least n uses.
 
     Documents without tokens, with a source that is not a target or with a null id are never chosen; rows with one id
     count once (the largest); an empty table, or a target source that is missing in it, leaves nothing to choose, since no
@@ -111,7 +128,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, folder: str = TOKENIZERS, v
     plan = plan_mix(sizes, targets)
     live = plan[plan.quota > 0] if len(plan) else plan
     if live.empty:
-        return spark.createDataFrame([], f"doc_id {kind}, source string, tokens long, uses int")
+        return spark.createDataFrame([], f"doc_id {kind}, source string, tokens long, uses int, shard int, position int")
     # Blocks: bounded counts (sources x BLOCKS) are what the splitting tree works on.
     placed = sizes.filter("tokens > 0").join(F.broadcast(spark.createDataFrame(live[["source"]])), "source").withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "tokens")).withColumn("block", F.pmod("order", F.lit(BLOCKS)).cast("int"))
     blocks = placed.groupBy("source", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).toPandas()
@@ -131,7 +148,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, folder: str = TOKENIZERS, v
     drawn = placed.join(quotas, ["source", "block"]).withColumn("upto", F.sum("tokens").over(in_block))
     # Documents that lie whole within their block's quota are drawn.  Each block has one document at most that its quota
     # cuts; of these (sources x BLOCKS at most) the driver takes those that bring each source to its quota.
-    drawn = materialise(drawn.withColumn("extra", (F.col("upto") <= F.col("quota")).cast("int")).withColumn("cut", (F.col("extra") == 0) & (F.col("upto") - F.col("tokens") < F.col("quota"))).drop("order", "block", "upto", "quota"), "drawn")
+    drawn = materialise(drawn.withColumn("extra", (F.col("upto") <= F.col("quota")).cast("int")).withColumn("cut", (F.col("extra") == 0) & (F.col("upto") - F.col("tokens") < F.col("quota"))).drop("order", "upto", "quota"), "drawn")
     held = {r.source: r.t for r in drawn.filter("extra = 1").groupBy("source").agg(F.sum("tokens").alias("t")).toLocalIterator()}
     cut = drawn.filter("cut").select("source", "doc_id", "tokens").toPandas().sort_values(["tokens", "doc_id"], ascending=[False, True])
     wanted: dict[str, int] = {}
@@ -146,7 +163,10 @@ def mix(documents: DataFrame, targets: DataFrame, *, folder: str = TOKENIZERS, v
                 left -= d.tokens
     added = F.broadcast(spark.createDataFrame(more, f"doc_id {kind}").withColumn("also", F.lit(1)))
     uses = F.col("whole") + F.col("extra") + F.coalesce("also", F.lit(0))
-    return drawn.join(added, "doc_id", "left").select("doc_id", "source", "tokens", uses.cast("int").alias("uses")).filter("uses > 0")
+    chosen = drawn.join(added, "doc_id", "left").select("doc_id", "source", "tokens", uses.cast("int").alias("uses"), F.col("block").alias("shard")).filter("uses > 0")
+    # Not the order of drawing, by which the drawn part of a source would come first.
+    shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id")
+    return chosen.withColumn("position", F.row_number().over(shuffled) - 1)
 
 
 def actual_shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:

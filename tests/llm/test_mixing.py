@@ -42,3 +42,28 @@ def test_splitting_tree_is_exact(draws):
     big = np.full(64, 10**10)
     got = mixing.split_quotas(big, 10**11, np.random.default_rng(2))
     assert got.sum() == 10**11 and (got <= big).all()
+
+
+def test_large_draws_are_exact():
+    n, half, k = 6000, 10**10, 3
+    draw = lambda k, left, right: np.array([mixing.draw_split(left, right, k, np.random.default_rng([k, i])) for i in range(n)])
+    # Three draws from equal halves: 1/8, 3/8, 3/8, 1/8.
+    share = np.bincount(draw(k, half, half), minlength=4) / n
+    assert np.abs(share - np.array([1, 3, 3, 1]) / 8).max() < 0.03
+    # One of a thousand: a Poisson number to be, which is 0 by chance exp(-2), never a normal one.
+    assert abs((draw(2000, 10**7, 10**10 - 10**7) == 0).mean() - np.exp(-2)) < 0.02
+    big = draw(10**6, half, 3 * half)
+    assert abs(big.mean() - 250_000) < 30 and abs(big.std() / np.sqrt(10**6 * 3 / 16) - 1) < 0.05
+    late = draw(4 * half - 3, half, 3 * half)
+    assert late.min() >= half - 3 and late.max() <= half and abs((half - late).mean() - 0.75) < 0.05
+
+
+def test_shards_are_shuffled(spark):
+    targets = spark.createDataFrame([("source_a", 0.6, 1), ("source_b", 0.4, 3)], TARGETS)
+    got = mixing.mix(spark.createDataFrame(corpus(8000, 4000), DOCS), targets).collect()
+    shards = {}
+    for r in got:
+        shards.setdefault(r.shard, {})[r.position] = r
+    assert len(shards) == mixing.BLOCKS and all(sorted(s) == list(range(len(s))) for s in shards.values()) and sum(map(len, shards.values())) == len(got)
+    first, last = ([s[i].source for s in shards.values() for i in sorted(s) if (i < len(s) / 2) == part] for part in (True, False))
+    assert abs(first.count("source_a") / len(first) - last.count("source_a") / len(last)) < 0.05
