@@ -130,14 +130,19 @@ def profile(names: list[str], remarks: str | None) -> dict:
 
 
 def codes(token: str) -> set[str]:
-    """Phonetic codes: the sounds of the consonants, doubles once; whole and, if longer than three, less one sound."""
+    """Phonetic codes: the sounds of the consonants, doubles once; whole and, if longer than three, less one sound.
+
+    Up to three sounds say too little with one less: such a token has its letters too, whole and less one letter, so that
+    two tokens one edit apart (swapped neighbours too) share a code.
+    """
     sounds = re.sub(r"[aeiouyh]", "", token).translate(SOUNDS)
     ways = [sounds] + [sounds[:i] + sounds[i + 1 :] for i in range(len(sounds)) if len(sounds) > 3]
-    return {re.sub(r"(.)\1+", r"\1", w) for w in ways} - {""}
+    letters = {"=" + token[:i] + token[i + 1 :] for i in range(len(token) + 1)} if len(sounds) <= 3 else set()
+    return {re.sub(r"(.)\1+", r"\1", w) for w in ways} - {""} | letters
 
 
 def keys(p: dict) -> list[str]:
-    """Block keys: code of the rare token, whole and less one sound, with the sorted other tokens (kinds or first initials)."""
+    """Block keys: codes of the rare token with the sorted other tokens (kinds or first initials)."""
     firsts = {i for f in p["first"] for i in (INITIALS.get(f, {f}) if len(f) == 1 else {f[0]})}
     ends = [f"o|{k}" for k in p["kinds"]] if p["org"] else [f"p|{i}" for i in sorted(firsts)] or ["p|?"]
     variants = {c for t in p["rare"] for c in codes(t)}

@@ -89,3 +89,14 @@ def test_jaro_winkler(a, b, want):
 def test_birth_dates():
     assert names.birth("DOB 03 May 1968; x") == (1968, "1968-05-03") and names.birth("born 1984-07-04") == (1984, "1984-07-04")
     assert names.birth("DOB: 15/04/1957; travel ban") == (1957, "1957-04-15") and names.birth("year of birth 1959") == (1959, None) and names.birth("x") == (None, None)
+
+
+def test_short_tokens_one_edit_apart_meet(spark):
+    for token in ("thirdao", "vanolo", "baro", "odd"):
+        near = {token[:i] + c + token[i + 1 :] for i in range(len(token)) for c in "bkltmaeo"} | {token[:i] + c + token[i:] for i in range(len(token) + 1) for c in "bkltmaeo"}
+        near |= {token[:i] + token[i + 1 :] for i in range(len(token))} | {token[:i] + token[i + 1] + token[i] + token[i + 2 :] for i in range(len(token) - 1)}
+        assert all(names.codes(token) & names.codes(t) for t in near), token
+    sdn = [(1, "THIRDAO, Mikhail", "individual", "DOB 25 May 1961", None), (2, "VANOLO, Svetlana", "individual", "DOB 03 Jan 1990", None)]
+    watch = [("EU", "EU-1", "Thidrao Mikhail", None, None, "born 1961-05-25", None), ("EU", "EU-2", "Vakolo Svetlana", None, None, "born 1990-01-03", None)]
+    got = names.same_entity_pairs(names.linked_entries(spark.createDataFrame(sdn, SDN), spark.createDataFrame(watch, WATCH)))
+    assert rows(got) == [("EU-1", "SDN-1"), ("EU-2", "SDN-2")]
