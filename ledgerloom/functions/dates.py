@@ -17,8 +17,9 @@ def compact_stamp(t: Column) -> Column:
 
 
 def parse_iso(text: Column) -> Column:
-    """Timestamp of an ISO text, null where it can't be read; no zone means the session's, which is UTC here."""
-    return text.try_cast("timestamp")
+    """Timestamp of an ISO text, null where it can't be read; no zone means UTC."""
+    zoned = F.trim(text).rlike(r"(?i)(Z|UTC|[+-]\d{2}(:?\d{2})?)$") & text.contains(":")
+    return F.when(zoned, F.trim(text)).otherwise(F.concat(F.trim(text), F.when(text.contains(":"), "Z").otherwise("T00:00:00Z"))).try_cast("timestamp")
 
 
 def older_than(text: Column, now: Column, days: int) -> Column:

@@ -10,8 +10,8 @@ ALIAS = r"(?i)\b(?:a\.k\.a\.|aka|f\.k\.a\.|fka|n\.k\.a\.|nka)\b[\s:]*['\"]?([^;'
 
 
 def normal_name(name: Column) -> Column:
-    """Lower case, ASCII punctuation as blanks, squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[\p{Punct}]+", " "), r"\s+", " "))
+    """Case folded (sharp s and final sigma too), ASCII punctuation as blanks, squeezed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.translate(F.lower(name), "ς", "σ"), "ß", "ss"), r"[\p{Punct}]+", " "), r"(?U)\s+", " "))
 
 
 def name_tokens(normal: Column) -> Column:
@@ -25,7 +25,7 @@ def clean_programme(value: Column) -> Column:
 
 
 def null_token(value: Column) -> Column:
-    return F.when(F.trim(value) == "-0-", F.lit(None)).otherwise(value)
+    return F.nullif(F.trim(value), F.lit("-0-"))
 
 
 def remark_aliases(remarks: Column) -> Column:

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.dates import older_than, parse_iso
 from ledgerloom.operators.eventlog import entity_state
 from ledgerloom.operators.merge import financial_observations, merge_financials
 from ledgerloom.operators.shredding import financial_tables
@@ -104,9 +105,7 @@ def missing_paths(manifest_paths: DataFrame, present: DataFrame) -> DataFrame:
 
 def stale_sources(inventory: DataFrame, now: str, days: int = 180) -> DataFrame:
     """Sources last seen more than ``days`` days before ``now``; unreadable times do not count; no zone means UTC."""
-    seen = F.regexp_replace("last_seen_at", "Z$", "").try_cast("timestamp_ntz")
-    limit = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
-    return inventory.filter(seen < limit).select(*RUN, "source_id", "last_seen_at").distinct()
+    return inventory.filter(older_than(F.col("last_seen_at"), parse_iso(F.lit(now)), days)).select(*RUN, "source_id", "last_seen_at").distinct()
 
 
 def low_confidence(items: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -93,7 +93,7 @@ def next_event_id(spark: SparkSession, folder: str) -> DataFrame:
     return eventlog.next_event_id(_log(spark, folder))
 
 
-@registered()
+@registered(STATE_SQL + "select * from state")
 def event_log_state_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The same state kept by a stream; it must equal event_log_state."""
     return state_stream.streamed_state(spark, f"{folder}/example_source_registry.parquet")
@@ -101,17 +101,17 @@ def event_log_state_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 URL_SQL = """
 with u as (select distinct url, source_class from source_inventory where url is not null),
-a as (select url, source_class, regexp_replace(trim(url), '#.*$', '') t from u),
-b as (select url, source_class, lower(regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) s, lower(regexp_extract(t, '://([^/?]*)', 1)) h,
-  regexp_replace(lower(regexp_extract(t, '://[^/?]*([^?]*)', 1)), '/+$', '') p, regexp_extract(t, '\\?(.*)$', 1) q from a),
-c as (select *, list_sort(list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' and split_part(x, '=', 1) not in ('ref', 'fbclid', 'gclid')
-  and not regexp_matches(split_part(x, '=', 1), '^(utm_|mc_|_ga)')), lambda x: {'k': split_part(x, '=', 1), 'v': case when contains(x, '=') then regexp_replace(x, '^[^=]*=', '') else '' end})) l from b),
-d as (select url, source_class, case when s = '' then 'https' else s end || '://' || h || case when p = '' then '/' else p end
-  || case when len(l) > 0 then '?' || array_to_string(list_transform(l, lambda x: x.k || '=' || x.v), '&') else '' end normal_url from c)
+a as (select url, source_class, regexp_replace(regexp_replace(trim(url), '[\\t\\r\\n]', '', 'g'), '#.*$', '') t from u),
+b as (select url, source_class, lower(regexp_extract(t, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) s, regexp_replace(t, '^[A-Za-z][A-Za-z0-9+.-]*:', '') r from a),
+c as (select *, lower(regexp_extract(r, '^//([^/?]*)', 1)) h, regexp_replace(lower(regexp_extract(r, '^(//[^/?]*)?([^?]*)', 2)), '/+$', '') p,
+  list_transform(list_filter(string_split(regexp_extract(r, '\\?(.*)$', 1), '&'), lambda x: x <> ''), lambda x: {'k': url_decode(replace(split_part(x, '=', 1), '+', ' ')), 'v': url_decode(replace(case when contains(x, '=') then regexp_replace(x, '^[^=]*=', '') else '' end, '+', ' '))}) q from b),
+d as (select *, case when p = '' then '/' else p end w, list_sort(list_filter(q, lambda x: lower(x.k) not in ('ref', 'fbclid', 'gclid') and not regexp_matches(lower(x.k), '^(utm_|mc_|_ga)'))) l from c),
+e as (select url, source_class, case when s = '' then 'https' else s end || ':' || case when h <> '' then '//' || h || case when w[1] = '/' then '' else '/' end || w when w[1] = '/' then '//' || w else w end
+  || case when len(l) > 0 then '?' || array_to_string(list_transform(l, lambda x: replace(url_encode(x.k), '%20', '+') || '=' || replace(url_encode(x.v), '%20', '+')), '&') else '' end normal_url from d)
 """
 
 
-@registered(URL_SQL + "select url, source_class, normal_url, 'src_' || substr(sha256(lower(source_class) || '|' || normal_url), 1, 16) source_id from d")
+@registered(URL_SQL + "select url, source_class, normal_url, 'src_' || substr(sha256(lower(source_class) || '|' || normal_url), 1, 16) source_id from e")
 def source_ids(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "source_inventory").select("url", "source_class").filter("url is not null").distinct()
     return rows.select("url", "source_class", ids.url_normal_form(F.col("url")).alias("normal_url"), ids.source_id(F.col("url"), F.col("source_class")).alias("source_id"))
@@ -128,16 +128,25 @@ def company_slugs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("name", ids.company_slug(F.col("name")).alias("slug"))
 
 
-CANON_SQL = r"""
-with c as (select doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(replace(text, '-' || chr(10), ''), chr(12), chr(10), 'g'), '(?m)^[ \t]*[0-9]+[ \t]*$', '', 'g'),
-  '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) canon from documents)
-"""
+#: Whitespace and the compatibility characters of the tables, for SQL that has no NFKC.
+_SQL_BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _sql_normal(text: str) -> str:
+    return f"trim(regexp_replace(nfc_normalize(replace(replace(replace({text}, '…', '...'), 'ﬁ', 'fi'), 'ﬂ', 'fl')), '{_SQL_BLANKS}+', ' ', 'g'))"
+
+
+CANON_SQL = (
+    "with c as (select doc_id, text, "
+    + _sql_normal(f"regexp_replace(replace(replace(text, '-' || chr(10), ''), chr(12), chr(10)), '\\n{_SQL_BLANKS}*\\p{{Nd}}+{_SQL_BLANKS}*\\n', chr(10), 'g')")
+    + " canon from documents)"
+)
 
 
 @registered(CANON_SQL + "select doc_id, sha256(text) raw_hash, sha256(canon) canonical_hash from c")
 def canonical_text_hashes(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    h = text.content_hashes(F.col("text"), text.canonical_text(F.col("text")), F.lit("text/plain"))
+    h = text.content_hashes(F.col("text"), F.lit("text/plain"))
     return docs.select("doc_id", h["raw_hash"].alias("raw_hash"), h["canonical_hash"].alias("canonical_hash"))
 
 
@@ -147,11 +156,20 @@ def canonical_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return docs.groupBy("canonical_hash").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_doc")).filter("n_documents > 1")
 
 
-@registered(r"""
-with h as (select doc_id, text, regexp_replace(text, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>', ' ', 'g') t from documents),
-e as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&nbsp;?', ' ', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&#39;?', '''', 'g'), '&amp;?', '&', 'g') t from h)
-select doc_id, sha256(trim(regexp_replace(t, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'))) html_hash from e
-""")
+#: Hidden elements and comments, an unclosed tag at the end, a bare bracket as a piece of its own, tags, then character references.
+_HTML_STEPS = [
+    (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", " "), (r"<[a-zA-Z/!?][^>]*$", ""), (r"<([^a-zA-Z/!?]|$)", r" < \1"), (r"<[a-zA-Z/!?][^>]*>", " "),
+    ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&nbsp;?", " "), ("&#39;?", "\'\'"), ("&amp;?", "&"),
+]
+
+
+def _html_sql(text: str) -> str:
+    for pattern, by in _HTML_STEPS:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+@registered("select doc_id, sha256(" + _sql_normal(_html_sql("text")) + ") html_hash from documents")
 def canonical_html_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.sha2(text.canonical_html(F.col("text")), 256).alias("html_hash"))
 
@@ -167,7 +185,7 @@ def diff_class_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("a"), F.when(kind == 0, F.col("text")).when(kind == 1, F.replace("text", F.lit(" "), F.lit("  "))).when(kind == 2, F.concat("text", F.lit(" appended"))).alias("b"))
 
     def hashed(c: str):
-        h = text.content_hashes(F.col(c), F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("text/plain"))
+        h = text.hash_pair(F.col(c), F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("text/plain"))
         return F.when(F.col(c).isNotNull(), h)
 
     rows = docs.select(hashed("a").alias("x"), hashed("b").alias("y"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -35,9 +36,14 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset, as in tests."""
+    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs in one process, as in tests.
+
+    A cluster without the setting raises: a folder of one machine would lose rows.
+    """
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _fallback.setdefault(app, f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}") if app not in _fallback else _fallback[app]
     return folder.rstrip("/")
@@ -66,6 +72,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stream_of(spark: SparkSession, path: str, columns: list[str], batch_bytes: int) -> DataFrame:
+    """A stream over the parquet table at ``path``, a file or a folder of files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    schema = spark.read.parquet(path).select(*columns).schema
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(batch_bytes))
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    name = re.sub(r"([\[\]{}*?\\])", r"\\\1", place.getName())
+    return reader.option("pathGlobFilter", name).parquet(place.getParent().toString())
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder (a file or a directory of files)."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -20,7 +20,7 @@ def positions(flat: Column, sizes: Column) -> Column:
 
     def place(size: Column, i: Column) -> Column:
         stride = F.aggregate(F.slice(sizes, i + 2, F.size(sizes)), one, lambda a, x: a * x.cast("long"))
-        return F.when((size == 0) | (stride == 0), F.lit(0).cast("long")).otherwise(F.pmod(F.floor(flat / stride), size.cast("long")))
+        return F.when((size == 0) | (stride == 0), F.lit(0).cast("long")).otherwise(F.pmod(F.call_function("div", flat, stride), size.cast("long")))
 
     return F.transform(sizes, lambda s, i: place(s, i))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import clean_programme, null_token, remark_aliases
@@ -55,28 +57,30 @@ def bis_json(raw: DataFrame) -> DataFrame:
 def _cells(spark: SparkSession, path: str, sep: str, header: str | None) -> tuple[DataFrame, list[str]]:
     """(pos, cells) of the rows after the header and the header's names; preamble lines before it are skipped.
 
-    The header is the first line that holds ``header``, else the first line.  Only the header line reaches the driver.
+    The header is the first line that holds ``header``, else the first line.  Only the header line reaches the driver; the rows
+    are read as records, so a quoted cell may hold separators and line ends.  Missing cells are ''.
     """
-    lines = spark.read.text(path, lineSep="\n").select(F.monotonically_increasing_id().alias("pos"), F.regexp_replace(F.regexp_replace("value", "\r$", ""), "^﻿", "").alias("value"))
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
     heads = lines.filter(F.col("value").contains(header)) if header else lines
     top = heads.orderBy("pos").limit(1).collect() or lines.orderBy("pos").limit(1).collect()
     if not top:
         return lines.filter("false").select("pos", F.array("value").alias("cells")), []
-    names = [c.strip().strip('"') for c in top[0].value.split(sep)]
-    fields = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = lines.filter((F.col("pos") > top[0].pos) & (F.trim("value") != "")).select("pos", F.from_csv("value", fields, {"sep": sep}).alias("c"))
-    return rows.select("pos", F.array(*[F.coalesce(F.trim(f"c.c{i}"), F.lit("")) for i in range(len(names))]).alias("cells")), names
+    names = next(csv.reader([top[0].value], delimiter=sep))
+    read = spark.read.schema(", ".join(f"c{i} string" for i in range(len(names)))).csv(path, sep=sep, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+    rows = read.select(F.monotonically_increasing_id().alias("pos"), F.array(*[F.coalesce(c, F.lit("")) for c in read.columns]).alias("cells"))
+    first = rows.filter(F.regexp_replace(F.array_join("cells", sep), "^\ufeff", "") == sep.join(names)).agg(F.min("pos").alias("first"))  # one row
+    rows = rows.join(F.broadcast(first), F.col("pos") > F.col("first")).filter(F.array_join("cells", "") != "")
+    return rows.select("pos", F.transform("cells", lambda c: F.trim(c)).alias("cells")), names
 
 
-def _grouped(rows: DataFrame, listed: str, primary: Column) -> DataFrame:
-    """Rows (pos, entry_id, name, type, program) of one entry to its entry: the first primary name, the others as aliases in order."""
-    named = rows.filter("entry_id <> '' and name <> ''").withColumn("first", ~primary)
-    by = Window.partitionBy("entry_id").orderBy("first", "pos")
-    ranked = named.withColumn("n", F.row_number().over(by))
-    lead = F.when(F.col("n") == 1, F.struct("name", "type"))
-    others = F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.struct("pos", "name"))))
-    out = ranked.groupBy("entry_id").agg(F.max(lead).alias("lead"), F.min(F.struct("pos", "program")).alias("top"), others.alias("others"))
-    return out.select(F.lit(listed).alias("list"), "entry_id", "lead.name", "lead.type", "top.program", F.lit(None).cast("string").alias("remarks"), F.transform("others", lambda o: o["name"]).alias("aliases"))
+def _grouped(rows: DataFrame, listed: str) -> DataFrame:
+    """Rows (pos, entry_id, name, primary, type, program) of one entry to its entry: type and programme of its first row, the first
+    primary name (else the first name) leads, the others are aliases in order; an entry without any name has ''."""
+    name = F.when(F.col("name") != "", F.struct((~F.col("primary")).alias("later"), "pos", "name"))
+    out = rows.filter("entry_id <> ''").groupBy("entry_id").agg(F.min(F.struct("pos", "type", "program")).alias("top"), F.array_sort(F.collect_list(name)).alias("names"))
+    others = F.array_sort(F.transform(F.slice("names", 2, F.greatest(F.size("names"), F.lit(1))), lambda n: F.struct(n["pos"], n["name"])))
+    lead = F.coalesce(F.get("names", F.lit(0))["name"], F.lit(""))
+    return out.select(F.lit(listed).alias("list"), "entry_id", lead.alias("name"), "top.type", "top.program", F.lit(None).cast("string").alias("remarks"), F.transform(others, lambda o: o["name"]).alias("aliases"))
 
 
 def eu_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -87,8 +91,8 @@ def eu_csv(spark: SparkSession, path: str) -> DataFrame:
     if key is None or name is None:
         return spark.createDataFrame([], "list string, entry_id string, name string, type string, program string, remarks string, aliases array<string>")
     pick = lambda i: F.lit("") if i is None else F.col("cells")[i]
-    shaped = rows.select("pos", pick(key).alias("entry_id"), pick(name).alias("name"), pick(at("Subject_type", "Entity_SubjectType")).alias("type"), pick(at("Programme", "Entity_Regulation_Programme", "Leba_programme")).alias("program"))
-    return _grouped(shaped, "EU-CONSOLIDATED", F.lit(True))
+    shaped = rows.select("pos", pick(key).alias("entry_id"), pick(name).alias("name"), F.lit(True).alias("primary"), pick(at("Subject_type", "Entity_SubjectType")).alias("type"), pick(at("Programme", "Entity_Regulation_Programme", "Leba_programme")).alias("program"))
+    return _grouped(shaped.filter("name <> ''"), "EU-CONSOLIDATED")
 
 
 def uk_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -97,6 +101,7 @@ def uk_csv(spark: SparkSession, path: str) -> DataFrame:
     at = lambda *wanted: next((names.index(w) for w in wanted if w in names), None)
     pick = lambda i: F.lit("") if i is None else F.col("cells")[i]
     key = F.coalesce(F.nullif(pick(at("Unique ID")), F.lit("")), pick(at("OFSI Group ID")))
+    kind = F.coalesce(F.nullif(pick(at("Type of entity")), F.lit("")), pick(at("Designation Type")))
     parts = [pick(at(f"Name {i}")) for i in range(1, 7)]
-    shaped = rows.select("pos", key.alias("entry_id"), F.array_join(_filled(F.array(*parts)), " ").alias("name"), pick(at("Type of entity", "Designation Type")).alias("type"), pick(at("Regime Name")).alias("program"), F.lower(pick(at("Name type"))).contains("primary").alias("lead"))
-    return _grouped(shaped, "UK-FCDO", F.col("lead"))
+    shaped = rows.select("pos", key.alias("entry_id"), F.regexp_replace(F.array_join(_filled(F.array(*parts)), " "), r"(?U)\s+", " ").alias("name"), kind.alias("type"), pick(at("Regime Name")).alias("program"), F.lower(pick(at("Name type"))).contains("primary").alias("primary"))
+    return _grouped(shaped, "UK-FCDO")

@@ -8,8 +8,9 @@ import os
 import shutil
 import tempfile
 import time
+import uuid
 from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -68,8 +69,11 @@ def atomic_json(path: str, data: object) -> None:
     os.replace(name, target)
 
 
-def publish(run_dir: str, latest: str, names: Sequence[str], *, passed: bool) -> bool:
-    """Swap the named files of a run into ``latest`` if its gates passed; a file that is not there is left out."""
+def publish(run_dir: str, latest: str, names: Sequence[str], *, passed: bool, history: str | None = None, published_at: str | None = None) -> bool:
+    """Swap the named files of a run into ``latest`` if its gates passed; a file that is not there is left out.
+
+    ``history``: folder that gets one record per published run, named by the run.
+    """
     if not passed:
         return False
     staged, target = Path(f"{latest}.new"), Path(latest)
@@ -80,23 +84,42 @@ def publish(run_dir: str, latest: str, names: Sequence[str], *, passed: bool) ->
             shutil.copy2(Path(run_dir) / n, staged / n)
     shutil.rmtree(target, ignore_errors=True)
     staged.rename(target)
+    if history:
+        Path(history).mkdir(parents=True, exist_ok=True)
+        run = Path(run_dir).name
+        atomic_json(str(Path(history) / f"{run}.json"), {"run_id": run, "published_at": published_at, "passed": True})
     return True
 
 
+def _stale(path: Path, now: float, after: float) -> bool:
+    """Whether a lock is older than ``after`` seconds; one that can't be read (just being written) is as old as its file."""
+    try:
+        since = float(json.loads(path.read_text())["at"])
+    except FileNotFoundError:
+        return True
+    except (ValueError, KeyError, TypeError):
+        since = path.stat().st_mtime if path.exists() else now
+    return now - since > after
+
+
 @contextmanager
 def company_lock(folder: str, owner: str, now: float | None = None, stale_after: float = 3600.0) -> Iterator[None]:
-    """One writer per company folder; a lock older than ``stale_after`` seconds is taken over."""
+    """One writer per company folder; a lock older than ``stale_after`` seconds is taken over.
+
+    Of several writers that find a stale lock one moves it away; all then try to create the new one, and those that come
+    second get ``RuntimeError`` as for any held lock.
+    """
     path, now = Path(folder) / ".lock", time.time() if now is None else now
     path.parent.mkdir(parents=True, exist_ok=True)
-    if path.exists():
-        try:
-            since = float(json.loads(path.read_text())["at"])
-        except (ValueError, KeyError, TypeError):
-            since = path.stat().st_mtime
-        if now - since <= stale_after:
-            raise RuntimeError(f"locked: {path}")
-        path.unlink(missing_ok=True)
-    handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+    if path.exists() and _stale(path, now, stale_after):
+        aside = path.with_name(f".lock-{uuid.uuid4().hex}")
+        with suppress(FileNotFoundError):
+            os.rename(path, aside)
+            aside.unlink()
+    try:
+        handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
+    except FileExistsError:
+        raise RuntimeError(f"locked: {path}") from None
     with os.fdopen(handle, "w") as f:
         json.dump({"owner": owner, "at": now}, f)
     try:

@@ -18,7 +18,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import own_path
+from ledgerloom.session import own_path, stream_of
 
 LIVE_TYPES = ("discovered", "retrieved", "canonicalized", "validated")
 GONE_TYPES = ("unavailable", "superseded")
@@ -102,7 +102,7 @@ def apply_change_feed(spark: SparkSession, path: str, columns: Sequence[str] = (
     """The current entities of the feed files at ``path``; an empty feed gives no entities."""
     schema = spark.read.parquet(path).select(*columns).schema
     folder = own_path(spark, "feed")
-    feed = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(BATCH_BYTES)).parquet(f"{path[:-1]}[{path[-1]}]")  # as a pattern the path may be a file or a folder
+    feed = stream_of(spark, path, list(columns), BATCH_BYTES)
     versions = stream_upserts(deliveries(feed), folder)
     fields = deliveries(spark.createDataFrame([], schema)).schema
     if not versions:

@@ -17,7 +17,7 @@ def brute(fa, inv, log):
     for a, c, r, s, _ in fa:
         if None in (a, c, r, s) or not s.strip() or (c, r, s) in have:
             continue
-        runs = [x for k, x, y in have if k == c and y == s]
+        runs = [x for k, x, y in have if k == c and y == s and x is not None]
         kind = "deleted" if any(x < r for x in runs) else "late" if any(x > r for x in runs) else "missing"
         out.add(("financial_artifact", a, f"{r[:4]}-{r[4:6]}", kind))
     made = {}
