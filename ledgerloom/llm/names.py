@@ -443,16 +443,22 @@ def profiles(listed: DataFrame) -> DataFrame:
     return out.withColumn("node", F.unhex(F.md5(F.to_json("p"))))
 
 
-def split_join(left: DataFrame, right: DataFrame, by: Sequence[str], spread: str, most: int = BLOCK_ROWS) -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, by: Sequence[str], spread: str, most: int = BLOCK_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """An equi-join whose groups are cut where ``right`` has more than ``most`` rows of a key: each part meets all rows of
-    ``left``, so nothing is lost and no task holds a whole hot group.  ``spread``: the column of ``right`` that tells the part."""
-    sizes = right.groupBy(*by).count().filter(F.col("count") > most).select(*by, F.ceil(F.col("count") / most).cast("int").alias("parts"))
+    ``left``, so nothing is lost and no task holds a whole hot group.  ``spread``: the column of ``right`` that tells the part;
+    ``sizes``: ``hot_keys`` of ``right`` where they are known."""
+    parts = hot_keys(right, by, most) if sizes is None else sizes
     part = F.pmod(F.xxhash64(spread), F.coalesce("parts", F.lit(1)))
-    right = right.join(sizes, list(by), "left").withColumn("part", part.cast("int")).drop("parts")
-    left = left.join(sizes, list(by), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    right = right.join(parts, list(by), "left").withColumn("part", part.cast("int")).drop("parts")
+    left = left.join(parts, list(by), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return left.join(right, [*by, "part"]).drop("part")
 
 
+def hot_keys(rows: DataFrame, by: Sequence[str], most: int) -> DataFrame:
+    """(by, parts) of the keys with more than ``most`` rows; there is one at most for each ``most`` rows."""
+    return rows.groupBy(*by).count().filter(F.col("count") > most).select(*by, F.ceil(F.col("count") / most).cast("int").alias("parts"))
+
+
 def _plain(p: object) -> object:
     """A profile as it comes back from a frame, with lists and dicts only."""
     if isinstance(p, dict):
@@ -462,14 +468,15 @@ def _plain(p: object) -> object:
 
 def compared(nodes: DataFrame) -> DataFrame:
     """(a, b, score) of the accepted pairs of nodes that share a block; years that differ never meet."""
-    blocks = nodes.select("node", F.col("p.year").alias("year"), F.explode("keys").alias("k"))
+    # A hash stands for the key: two keys with one hash only bring pairs that the comparison refuses.
+    blocks = materialise(nodes.select("node", F.col("p.year").alias("year"), F.explode("keys").alias("k")).withColumn("k", F.xxhash64("k")), "blocks")
+    hot = materialise(hot_keys(blocks, ["k"], BLOCK_ROWS), "hot")
     # Known years meet only the same year; incomplete ones meet every year of the block.
     dated, undated = blocks.filter("year is not null"), blocks.filter("year is null").drop("year")
     left = lambda d: d.withColumnRenamed("node", "a")
     right = lambda d: d.withColumnRenamed("node", "b")
-    pairs = split_join(left(dated), right(dated), ["k", "year"], "b").select("a", "b")
-    pairs = pairs.unionByName(split_join(left(undated), right(dated.drop("year")), ["k"], "b").select("a", "b"))
-    pairs = pairs.unionByName(split_join(left(undated), right(undated), ["k"], "b").select("a", "b"))
+    known = left(dated).join(right(dated), ["k", "year"]).filter("a < b") if hot.isEmpty() else split_join(left(dated), right(dated), ["k", "year"], "b").filter("a < b")
+    pairs = known.select("a", "b").unionByName(split_join(left(undated), right(blocks.drop("year")), ["k"], "b", sizes=hot).select("a", "b"))
     pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     p = nodes.select("node", "p")
     both = pairs.join(p.withColumnsRenamed({"node": "a", "p": "pa"}), "a").join(p.withColumnsRenamed({"node": "b", "p": "pb"}), "b")
