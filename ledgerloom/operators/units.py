@@ -1,16 +1,18 @@
 """Quantities recorded in different units, brought to US dollars in ones.
 
 A value's unit is a pair (currency, scale).  ``read_unit`` reads it from one statement; the statement nearest the
-value counts: its cell, its row, its column (period), the texts of its record.  Where the nearest level leaves several
-readings (texts that contradict each other), they are candidates, and the identities among columns decide:
+value counts: its cell, its row, its column (period), the texts of its record.  The nearest level's readings are the item's
+candidates; where nothing is stated, every currency of the rates in every scale is one.  Identities among columns decide:
 
 * value in dollars = stated value * scale * rate, so the same figure in another record must give the same dollars;
-* the sum identities of ``IDENTITIES`` within one record and period (all parts in one unit).
-
-The combination with the smallest sum of squared log residuals is taken; ``unit_status`` is ``stated`` (one reading), ``resolved``
-(the identities single one out), ``ambiguous`` (no other value to compare with, or the two best readings are closer
-than ``MARGIN``) or ``unknown`` (no statement).  ``check_units`` holds stated units against the same identities and flags
-those that contradict them.
+* the sum identities of ``IDENTITIES`` within one record and period.
+
+Items of one column (record and period) with the same candidates are in one unit, so a column's candidate is chosen for all of them at
+once: the one with the smallest sum of squared log residuals over all identities of all its items, a wrong sign counting as a power of
+ten.  Columns that are decided are evidence for the others in the next of ``ROUNDS`` rounds.  The text is a prior that leaves the
+other units out, so a single reading stands and the identities can only contradict it.  ``unit_status`` is ``stated`` (one reading),
+``resolved`` (the identities single one out), ``ambiguous`` (no other value to compare with, or the two best candidates are closer than
+``MARGIN``) or ``unknown`` (no statement and no evidence).  ``check_units`` flags stated units that contradict the identities.
 """
 
 from __future__ import annotations
@@ -53,6 +55,10 @@ TOLERANCE = 0.005
 MARGIN = 0.05
 #: Scales are powers of ten: from half a power on, another scale is nearer.
 OTHER_SCALE = math.log(10) / 2
+#: What a wrong sign adds to the squared log residuals.
+WRONG_SIGN = math.log(10) ** 2
+#: Rounds in which decided columns are evidence for the others.
+ROUNDS = 2
 _BAND = -math.log(1 - TOLERANCE)
 
 
@@ -154,45 +160,78 @@ def _scale_word(scale: Column) -> Column:
 def in_dollars(values: DataFrame, rates: DataFrame) -> DataFrame:
     """``values`` with ``currency, scale, usd, unit_status, residual``, one row per item.
 
-    ``rates`` (currency_code, fiscal_year, usd_per_unit) is a small fixed table.  Items with several candidates are
+    ``rates`` (currency_code, fiscal_year, usd_per_unit) is a small fixed table.  Items without exactly one candidate are
     few; only they and the figures they can be compared with take part in the joins of the resolution.
     """
     values = materialise(values, "stated")  # the parsing plan would be repeated in every branch below
     rate = F.broadcast(rates.groupBy(F.col("currency_code").alias("currency"), "fiscal_year").agg(F.max("usd_per_unit").alias("rate")))
-    each = values.withColumn("n_units", F.size("units")).withColumn("unit", F.explode_outer("units")).withColumn("currency", F.col("unit.currency")).withColumn("scale", F.col("unit.scale")).drop("unit", "units")
-    each = each.join(rate, ["currency", "fiscal_year"], "left").withColumn("usd", F.col("value_numeric") * F.col("scale") * F.col("rate")).drop("rate")
-    single = each.filter("n_units <= 1").drop("n_units")
-    single = single.withColumns({"unit_status": F.when(F.col("currency").isNull(), "unknown").otherwise("stated"), "residual": F.lit(None).cast("double")})
-    several = each.filter("n_units > 1").drop("n_units")
-    return single.unionByName(resolve_units(several, single))
+
+    def priced(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("currency", F.col("unit.currency")).withColumn("scale", F.col("unit.scale")).drop("unit", "units")
+        return rows.join(rate, ["currency", "fiscal_year"], "left").withColumn("usd", F.col("value_numeric") * F.col("scale") * F.col("rate")).drop("rate")
+
+    single = priced(values.filter("size(units) = 1").withColumn("unit", F.element_at("units", 1)))
+    single = single.withColumns({"unit_status": F.lit("stated"), "residual": F.lit(None).cast("double")})
+    several = values.filter("size(units) <> 1").withColumn("units", F.array_sort("units"))
+    if several.isEmpty():
+        return single
+    # Nothing stated: every unit of the year's rates (a small fixed table) may be meant.
+    scales = F.array(*[F.lit(x) for x in sorted(SCALE_WORDS.values())])
+    every = rates.groupBy("fiscal_year").agg(F.array_sort(F.collect_set("currency_code")).alias("codes"))
+    every = every.select("fiscal_year", F.flatten(F.transform("codes", lambda c: F.transform(scales, lambda x: F.struct(c.alias("currency"), x.alias("scale"))))).alias("all_units"))
+    several = several.join(F.broadcast(every), "fiscal_year", "left").withColumn("said", F.size("units") > 1)
+    several = several.withColumn("unit", F.explode_outer(F.when(F.col("said"), F.col("units")).otherwise(F.col("all_units")))).withColumn("choice", F.md5(F.to_json("units"))).drop("all_units")
+    return single.unionByName(resolve_units(priced(several), single))
+
+
+FIGURE = ["company_id", "run_id", "period_id", "scope", "taxonomy_key"]
+
+
+def _evidence(known: DataFrame, usd: str = "usd") -> DataFrame:
+    """(FIGURE, artifact_id, size, sign): what the known values say of figures: of any record (null artifact) by the same figure, of their
+    own record by its sum identities."""
+    live = known.filter(F.col(usd) != 0)
+    # The same figure elsewhere: its mean log size and sign stand for the group, so a group of any size is one row.
+    same = live.groupBy(*FIGURE).agg(F.avg(F.log(F.abs(usd))).alias("size"), F.signum(F.sum(F.signum(usd))).alias("sign"))
+    own = implied_by_identities(live)
+    return same.withColumn("artifact_id", F.lit(None).cast("string")).unionByName(own)
 
 
 def resolve_units(several: DataFrame, known: DataFrame) -> DataFrame:
-    """The candidate of each item with the smallest squared log residuals against what ``known`` values imply for it."""
-    figure = ["company_id", "run_id", "period_id", "scope", "taxonomy_key"]
-    block = ["artifact_id", "period_id", "scope"]
+    """The items of ``several`` (one row per item and candidate) with the candidate that fits their whole column best."""
     item = ["artifact_id", "line_pos"]
-    live = known.filter("usd <> 0")
-    # The same figure elsewhere: its mean log size stands for the group, so a group of any size is one row.
-    same = live.groupBy(*figure).agg(F.avg(F.log(F.abs("usd"))).alias("implied"))
-    hints = [several.select(*figure).distinct().join(same, figure).join(several.select(*item, *figure).distinct(), figure).select(*item, "implied")]
-    implied = implied_by_identities(live)
-    hints.append(several.select(*item, *block[1:], "taxonomy_key").distinct().join(implied, [*block, "taxonomy_key"]).select(*item, "implied"))
-    union = hints[0]
-    for h in hints[1:]:
-        union = union.unionByName(h)
-    union = union.groupBy(*item).agg(F.avg("implied").alias("implied"))
-    scored = several.join(union, item, "left").withColumn("residual", F.pow(F.log(F.abs("usd")) - F.col("implied"), 2))
-    best = scored.groupBy(*item).agg(F.array_sort(F.collect_set("residual")).alias("r"), F.min_by(F.struct(*[F.col(c) for c in scored.columns if c not in item]), F.struct(F.coalesce("residual", F.lit(float("inf"))), "currency", "scale")).alias("b"))
-    unique = (F.size("r") == 1) | (F.sqrt(F.get("r", F.lit(1))) - F.sqrt(F.get("r", F.lit(0))) >= MARGIN)
-    status = F.when(F.size("r").eqNullSafe(0), "ambiguous").when(F.coalesce(unique, F.lit(False)), "resolved").otherwise("ambiguous")
-    return best.select(*item, "b.*", status.alias("unit_status")).drop("implied").select(*[c for c in known.columns])
+    column = ["artifact_id", "company_id", "run_id", "period_id", "choice"]
+    # Items that are no different in unit but in value stand for each other only through their column.
+    open_items = materialise(several.withColumn("size", F.log(F.nullif(F.abs("usd"), F.lit(0.0)))), "open")
+    fields, evidence, done = open_items.columns, known.select("artifact_id", *FIGURE, "usd"), []
+    for _ in range(ROUNDS):
+        said = _evidence(evidence).withColumnsRenamed({"size": "implied", "artifact_id": "of"})
+        met = open_items.join(said, FIGURE, "left").filter("of is null or of = artifact_id")
+        cost = F.pow(F.col("size") - F.col("implied"), 2) + F.when((F.col("sign") != 0) & (F.signum("usd") != F.col("sign")), WRONG_SIGN).otherwise(0.0)
+        fit = met.groupBy(*column, "currency", "scale").agg(F.sum(cost).alias("cost"), F.count(cost).alias("n"))
+        ranked = fit.groupBy(*column).agg(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct("cost", "n", "currency", "scale")))).alias("r"))  # as many as candidates
+        gap = F.sqrt(F.get("r", F.lit(1))["cost"] / F.get("r", F.lit(1))["n"]) - F.sqrt(F.get("r", F.lit(0))["cost"] / F.get("r", F.lit(0))["n"])
+        decided = ranked.select(*column, F.get("r", F.lit(0)).alias("best"), F.coalesce((F.size("r") == 1) | (gap >= MARGIN), F.lit(False)).alias("unique"))
+        out = materialise(open_items.join(decided, column, "left").withColumn("chosen", F.col("best.currency").eqNullSafe(F.col("currency")) & F.col("best.scale").eqNullSafe(F.col("scale"))), "resolved")
+        # Only columns that are still open are fitted again, so none is evidence for itself.
+        done.append(out.filter("unique"))
+        evidence = evidence.unionByName(out.filter("chosen and unique").select("artifact_id", *FIGURE, "usd"))
+        open_items = out.filter("not coalesce(unique, false)").select(*fields)
+    out = reduce(DataFrame.unionByName, [*done, out.filter("not coalesce(unique, false)")])
+    # One row per item: its chosen candidate, or the first one where there is no evidence.
+    order = F.struct(~F.col("chosen"), "currency", "scale")
+    best = out.groupBy(*item).agg(F.min_by(F.struct(*[F.col(c) for c in out.columns if c not in item]), order).alias("b")).select(*item, "b.*")
+    status = F.when(F.col("chosen") & F.col("unique"), "resolved").when(F.col("chosen") | F.col("said"), "ambiguous").otherwise("unknown")
+    best = best.withColumn("unit_status", status).withColumn("residual", F.col("best.cost") / F.col("best.n"))
+    for c in ("currency", "scale", "usd"):
+        best = best.withColumn(c, F.when(F.col("unit_status") != "unknown", F.col(c)))
+    return best.select(*known.columns)
 
 
 def implied_by_identities(live: DataFrame) -> DataFrame:
-    """(artifact_id, period_id, scope, taxonomy_key, implied): log size of a figure by the other figures of its record and
-    period; each of ``IDENTITIES`` (total = sum of parts) is solved for each of its figures."""
-    block = ["artifact_id", "period_id", "scope"]
+    """(FIGURE, artifact_id, size, sign): log size and sign of a figure by the other figures of its record and period; each of
+    ``IDENTITIES`` (total = sum of parts) is solved for each of its figures."""
+    block = ["artifact_id", "company_id", "run_id", "period_id", "scope"]
     figures = live.groupBy(*block, "taxonomy_key").agg(F.avg("usd").alias("usd"))
     found = []
     for total, parts in IDENTITIES:
@@ -201,7 +240,7 @@ def implied_by_identities(live: DataFrame) -> DataFrame:
         solved = {total: sum((F.col(p) for p in parts[1:]), F.col(parts[0]))}
         for p in parts:
             solved[p] = F.col(total) - sum((F.col(q) for q in parts if q != p), F.lit(0.0))
-        found += [wide.select(*block, F.lit(name).alias("taxonomy_key"), F.log(F.nullif(F.abs(value), F.lit(0.0))).alias("implied")).dropna(subset=["implied"]) for name, value in solved.items()]
+        found += [wide.select(*block, F.lit(name).alias("taxonomy_key"), F.log(F.nullif(F.abs(value), F.lit(0.0))).alias("size"), F.signum(value).alias("sign")).dropna(subset=["size"]) for name, value in solved.items()]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -213,12 +252,11 @@ def check_units(values: DataFrame) -> DataFrame:
     the item itself) and the identities of its record.  It stays as stated, since figures also differ for other reasons.
     An item without any other value to compare with, or of zero dollars, has no residual and is not contradicted.
     """
-    figure = ["company_id", "run_id", "period_id", "scope", "taxonomy_key"]
-    block = ["artifact_id", "period_id", "scope", "taxonomy_key"]
+    figure, block = FIGURE, ["artifact_id", *FIGURE]
     live = values.filter(F.col("unit_status").isin("stated", "resolved") & (F.col("usd") != 0))
     size = F.log(F.abs("usd"))
     same = live.groupBy(*figure).agg(F.sum(size).alias("_sum"), F.count("*").alias("_n"))
-    identities = implied_by_identities(live).groupBy(*block).agg(F.sum("implied").alias("_isum"), F.count("*").alias("_in"))
+    identities = implied_by_identities(live).groupBy(*block).agg(F.sum("size").alias("_isum"), F.count("*").alias("_in"))
     near = values.join(same, figure, "left").join(identities, block, "left")
     other = F.when(F.col("_n") > 1, (F.col("_sum") - size) / (F.col("_n") - 1))
     implied = (F.coalesce(other, F.lit(0.0)) + F.coalesce("_isum", F.lit(0.0))) / F.nullif(other.isNotNull().cast("int") + F.coalesce("_in", F.lit(0)), F.lit(0))
@@ -233,7 +271,7 @@ def agreeing_pairs(values: DataFrame) -> DataFrame:
     the same number and dollars form one class; classes are joined, then expanded, so copies cost nothing before
     the result.  Items without a usable unit take no part.
     """
-    figure = ["company_id", "run_id", "period_id", "scope", "taxonomy_key"]
+    figure = FIGURE
     usable = values.filter(F.col("unit_status").isin("stated", "resolved") & F.col("usd").isNotNull()).dropna(subset=[*figure, "artifact_id"])
     # A figure is told by a 128-bit hash of its five fields, so that the shuffles below carry 16 bytes instead.
     named = F.unhex(F.md5(F.concat_ws("\u001f", *figure))).alias("figure")

@@ -115,3 +115,41 @@ def test_stated_units_are_held_against_identities(spark):
     own = spark.createDataFrame(rows_, "artifact_id string, line_pos int, company_id string, run_id string, period_id string, fiscal_year long, scope string, taxonomy_key string, value_numeric double, units array<struct<currency: string, scale: double>>")
     flags = {r.taxonomy_key: r.contradicted for r in units.check_units(units.in_dollars(own, fx)).collect()}
     assert flags["equity"] and not flags["revenue"]
+
+
+VALUES = "artifact_id string, line_pos int, company_id string, run_id string, period_id string, fiscal_year long, scope string, taxonomy_key string, value_numeric double, units array<struct<currency: string, scale: double>>"
+FX = [("USD", 2024, 1.0), ("EUR", 2024, 1.1), ("JPY", 2024, 0.0064)]
+
+
+def resolved(spark, figures):
+    """figures: (artifact, figure, value, stated units); one company, run and period."""
+    rows_ = [(a, i, "C", "r", "FY", 2024, "consolidated", k, v, u) for i, (a, k, v, u) in enumerate(figures)]
+    got = units.in_dollars(spark.createDataFrame(rows_, VALUES), spark.createDataFrame(FX, "currency_code string, fiscal_year long, usd_per_unit double")).collect()
+    assert len(got) == len(figures)
+    return {(r.artifact_id, r.taxonomy_key): (r.unit_status, r.currency, r.scale) for r in got}
+
+
+def test_units_that_were_removed_are_found_by_identities(spark):
+    usd, none = [("USD", 1.0)], []
+    got = resolved(spark, [
+        ("a", "revenue", 5500.0, usd), ("a", "cost_of_sales", -2200.0, usd), ("a", "equity", 110.0, usd), ("b", "revenue", 5.01, none), ("b", "cost_of_sales", -1.99, none), ("b", "gross_profit", 3.0, none),
+        # what b resolves to is evidence for c, which shares only the gross profit with it
+        ("c", "gross_profit", 3300.0, none), ("d", "net_income", 7.0, none),
+    ])
+    assert [got["b", k] for k in ("revenue", "cost_of_sales", "gross_profit")] == [("resolved", "EUR", 1000.0)] * 3
+    assert got["c", "gross_profit"] == ("resolved", "USD", 1.0) and got["d", "net_income"] == ("unknown", None, None)
+
+
+def test_signs_and_ties_of_units(spark):
+    usd, two = [("USD", 1.0)], [("USD", 1.0), ("USD", 1000.0)]
+    # The column's items decide together: one of them alone would take the other unit.
+    got = resolved(spark, [("a", "revenue", 1000.0, usd), ("a", "equity", 2000.0, usd), ("a", "capex", 60.0, usd), ("b", "revenue", 1.0, two), ("b", "equity", 2.0, two), ("b", "capex", 1.0, two)])
+    assert {got["b", k] for k in ("revenue", "equity", "capex")} == {("resolved", "USD", 1000.0)}
+    # 30 lies as far from one thousandth as from a thousand times: not unique.
+    got = resolved(spark, [("a", "revenue", 1000.0, usd), ("b", "revenue", math.sqrt(1000.0), two)])
+    assert got["b", "revenue"][0] == "ambiguous"
+    rows_ = [("a", "revenue", 1000.0, usd), ("b", "revenue", -1.0, two)]
+    flipped = spark.createDataFrame([(a, i, "C", "r", "FY", 2024, "consolidated", k, v, u) for i, (a, k, v, u) in enumerate(rows_)], VALUES)
+    fx = spark.createDataFrame(FX, "currency_code string, fiscal_year long, usd_per_unit double")
+    worst = {r.artifact_id: r.residual for r in units.in_dollars(flipped, fx).collect()}
+    assert worst["b"] >= units.WRONG_SIGN
