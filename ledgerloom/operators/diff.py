@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,24 +24,32 @@ def compare_inventories(before: DataFrame, after: DataFrame, keys: list[str]) ->
     return rows.select(*both, "change_kind", given.alias("diff_class"))
 
 
-def consecutive(inventory: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(before, after) rows keyed by company and the later run of each pair of neighbouring runs."""
-    runs = inventory.select("company_id", "run_id").distinct()
-    named = runs.withColumn("to_run", F.lead("run_id").over(Window.partitionBy("company_id").orderBy("run_id")))
-    before = inventory.join(named.filter("to_run is not null"), ["company_id", "run_id"])
-    first = runs.groupBy("company_id").agg(F.min("run_id").alias("first"))
-    after = inventory.join(first, "company_id").filter("run_id > first").drop("first").withColumn("to_run", F.col("run_id"))
-    return before, after
+def consecutive_changes(inventory: DataFrame) -> DataFrame:
+    """The comparison of each pair of neighbouring runs of a company: (company_id, to_run, source_id, change_kind, diff_class).
+
+    Runs are numbered once; a source's state of one run meets its state of the next by (company, source, number), so no join has
+    the company alone as its key.
+    """
+    runs = inventory.select("company_id", "run_id").dropna().distinct()
+    by = Window.partitionBy("company_id").orderBy("run_id")
+    calendar = runs.select("company_id", "run_id", F.row_number().over(by).alias("no"), F.lead("run_id").over(by).alias("next_run"))
+    rows = inventory.join(calendar, ["company_id", "run_id"])
+    keys = ["company_id", "to_run"]
+    before = rows.filter("next_run is not null").withColumn("to_run", F.col("next_run"))
+    return compare_inventories(before, rows.filter("no > 1").withColumn("to_run", F.col("run_id")), keys)
 
 
 def delta_type(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (from_* and to_* manifest fields) with delta_type: schema before extraction before source."""
-    fields = ["prompt_set_hash", "model_id", "tool_versions", "normalizer_profile_versions", "locale"]
-    other = F.lit(False)
-    for f in [f for f in fields if f"from_{f}" in pairs.columns]:
-        other = other | ~F.coalesce(f"from_{f}", F.lit("None")).eqNullSafe(F.coalesce(f"to_{f}", F.lit("None")))
-    schema = ~F.coalesce("from_schema_set_hash", F.lit("None")).eqNullSafe(F.coalesce("to_schema_set_hash", F.lit("None")))
-    return pairs.withColumn("delta_type", F.when(schema, "schema_delta").when(other, "extraction_delta").otherwise("source_delta"))
+    """``pairs`` (``from_repro`` and ``to_repro``, maps of a run's reproducibility) with delta_type: schema before extraction before source.
+
+    A key that is missing and a key that is null are told apart.
+    """
+
+    def differs(field: str) -> Column:
+        at = lambda m: F.when(F.coalesce(F.map_contains_key(m, F.lit(field)), F.lit(False)), F.coalesce(F.try_element_at(m, F.lit(field)), F.lit("None"))).otherwise("")
+        return at(F.col("from_repro")) != at(F.col("to_repro"))
+
+    return pairs.withColumn("delta_type", F.when(differs("schema_set_hash"), "schema_delta").when(differs("prompt_set_hash") | differs("model_id"), "extraction_delta").otherwise("source_delta"))
 
 
 def change_log(changes: DataFrame, *, from_run: str, to_run: str, delta: str, generated: str) -> str:

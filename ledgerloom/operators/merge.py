@@ -41,7 +41,29 @@ def merge_financials(observations: DataFrame, keys: tuple[str, ...] = ("company_
     return merged.select(*keys, F.when(reason.isNotNull(), conflict_id(*named)).alias("conflict_id"), reason.alias("reason"), value.alias("value"), "members")
 
 
-def merge_products(entities: DataFrame, keys: tuple[str, ...] = ("entity_type", "family")) -> DataFrame:
-    """One row per product family: merged if all lifecycles agree (null is a value), else a conflict."""
-    merged = entities.groupBy(*keys).agg(_differs("lifecycle_status").alias("c"), F.count("*").alias("n_members"), F.min("lifecycle_status").alias("lifecycle_status"))
-    return merged.select(*keys, F.when(F.col("c"), conflict_id(F.lit("product"), *[F.col(k) for k in keys])).alias("conflict_id"), "n_members", F.when(~F.col("c"), F.col("lifecycle_status")).alias("lifecycle_status"))
+def product_observations(artifacts: DataFrame) -> DataFrame:
+    """Entities with a candidate, one row each, of product artifacts (``entities``: array of structs); null elements are left out."""
+    rows = artifacts.select("company_id", "run_id", "artifact_id", "source_id", F.explode("entities").alias("e")).filter("e.normalized_candidate is not null")
+    return rows.select("company_id", "run_id", "artifact_id", "source_id", "e.entity_type", F.col("e.normalized_candidate.family").alias("family"), F.col("e.source_native_name").alias("name"), "e.lifecycle_status")
+
+
+def merge_products(observations: DataFrame, keys: tuple[str, ...] = ("company_id", "run_id", "entity_type", "family")) -> DataFrame:
+    """One row per product family with its members: merged if all lifecycles agree (null is a value), else a conflict.
+
+    Members are sorted by artifact and source; the array is as long as the family has observations.
+    """
+    member = F.struct("artifact_id", "source_id", F.col("name").alias("value"), F.col("entity_type").alias("scope"), F.lit(None).cast("string").alias("period"))
+    merged = observations.groupBy(*keys).agg(_differs("lifecycle_status").alias("c"), F.array_sort(F.collect_list(member)).alias("members"), F.min("lifecycle_status").alias("lifecycle_status"))
+    return merged.select(*keys, F.when(F.col("c"), conflict_id(F.lit("product"), F.col("entity_type"), F.col("family"))).alias("conflict_id"), F.when(~F.col("c"), F.col("lifecycle_status")).alias("lifecycle_status"), "members")
+
+
+def merged_output(financials: DataFrame, products: DataFrame) -> DataFrame:
+    """(company_id, run_id, part, merged, conflicts, document): of each run and part how much merged and how much conflicts, and the rows as JSON in
+    key order (as long as the run has figures)."""
+
+    def part(name: str, df: DataFrame, keys: list[str]) -> DataFrame:
+        own = F.to_json(F.struct(*[c for c in df.columns if c not in ("company_id", "run_id")]))
+        rows = df.groupBy("company_id", "run_id").agg(F.count_if(F.col("conflict_id").isNull()).alias("merged"), F.count("conflict_id").alias("conflicts"), F.array_sort(F.collect_list(F.struct(*keys, own.alias("j")))).alias("l"))
+        return rows.select("company_id", "run_id", F.lit(name).alias("part"), "merged", "conflicts", F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit("]")).alias("document"))
+
+    return part("financial", financials, ["scope", "period_id", "taxonomy_key"]).unionByName(part("product", products, ["entity_type", "family"]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import older_than, parse_iso
 from ledgerloom.operators.eventlog import entity_state
-from ledgerloom.operators.merge import financial_observations, merge_financials
+from ledgerloom.operators.merge import financial_observations, merge_financials, merge_products, product_observations
 from ledgerloom.operators.shredding import financial_tables
 
 RUN = ("company_id", "run_id")
@@ -32,11 +32,17 @@ def lineage_ok(lineage: Column) -> Column:
     return F.coalesce(filled & (F.size(lineage["locator"]) > 0) & lineage["extraction_prompt"].isNotNull(), F.lit(False))
 
 
-def referential_integrity(artifacts: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Artifacts whose filled source id is not in the inventory of their run."""
+def referenced_sources(artifacts: DataFrame) -> DataFrame:
+    """(company_id, run_id, artifact_id, source_id) of the filled references, each once."""
+    return artifacts.filter(~_blank(F.col("source_id"))).select(*RUN, "artifact_id", "source_id").distinct()
+
+
+def referential_integrity(artifacts: DataFrame, inventory: DataFrame, dossiers: DataFrame | None = None) -> DataFrame:
+    """Artifacts whose filled source id is not in the inventory of their run, and citations of dossiers that name no artifact of theirs."""
     known = inventory.select(*RUN, "source_id").distinct()
-    missing = artifacts.filter(~_blank(F.col("source_id"))).select(*RUN, "artifact_id", "source_id").distinct().join(known, [*RUN, "source_id"], "left_anti")
-    return missing.select(*RUN, "artifact_id", F.concat(F.lit("source_id "), "source_id", F.lit(" not in inventory")).alias("problem"))
+    missing = referenced_sources(artifacts).join(known, [*RUN, "source_id"], "left_anti")
+    out = missing.select(*RUN, "artifact_id", F.concat(F.lit("source_id "), "source_id", F.lit(" not in inventory")).alias("problem"))
+    return out if dossiers is None else out.unionByName(dossier_references(dossiers, artifacts))
 
 
 def dossier_references(dossiers: DataFrame, artifacts: DataFrame) -> DataFrame:
@@ -52,8 +58,10 @@ def uncited_claims(dossiers: DataFrame) -> DataFrame:
     return bare.select(*RUN, F.lit(None).cast("string").alias("artifact_id"), F.concat(F.lit("dossier claim ("), "c.kind", F.lit(") has no citations: "), F.substring("c.text", 1, 60)).alias("problem"))
 
 
-def lineage_complete(artifacts: DataFrame) -> DataFrame:
-    return artifacts.filter(~lineage_ok(F.col("lineage"))).select(*RUN, "artifact_id", F.lit("lineage check failed").alias("problem"))
+def lineage_complete(artifacts: DataFrame, dossiers: DataFrame | None = None) -> DataFrame:
+    """Artifacts without a complete lineage, and facts and evidence of dossiers without a citation."""
+    out = artifacts.filter(~lineage_ok(F.col("lineage"))).select(*RUN, "artifact_id", F.lit("lineage check failed").alias("problem"))
+    return out if dossiers is None else out.unionByName(uncited_claims(dossiers))
 
 
 def id_integrity(artifacts: DataFrame) -> DataFrame:
@@ -87,20 +95,25 @@ def financial_usability(artifacts: DataFrame) -> DataFrame:
 
 
 def refresh_drops(log: DataFrame, inventory: DataFrame, latest: DataFrame) -> DataFrame:
-    """Sources that are active in the log but not in the inventory of the company's run named in ``latest``."""
+    """Sources that are active in the log but not in the inventory of the company's run named in ``latest``: the runs that refresh
+    incrementally (other modes have nothing to compare with and take no row there)."""
     active = entity_state(log).filter("status in ('active', 'reappeared')").select("company_id", F.col("entity_id").alias("source_id"))
     expected = active.join(latest, "company_id")
     return expected.join(inventory.select(*RUN, "source_id").distinct(), [*RUN, "source_id"], "left_anti").select(*RUN, "source_id")
 
 
-def conflicts(artifacts: DataFrame) -> DataFrame:
-    """Figures of a run whose observations conflict."""
-    return merge_financials(financial_observations(artifacts)).filter("reason is not null").select(*RUN, "conflict_id", F.col("reason").alias("problem"))
+def conflicts(artifacts: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """Figures, and product families, of a run whose observations conflict."""
+    out = merge_financials(financial_observations(artifacts)).filter("reason is not null").select(*RUN, "conflict_id", F.col("reason").alias("problem"))
+    if products is None:
+        return out
+    return out.unionByName(merge_products(product_observations(products)).filter("conflict_id is not null").select(*RUN, "conflict_id", F.lit("source_authority_conflict").alias("problem")))
 
 
 def missing_paths(manifest_paths: DataFrame, present: DataFrame) -> DataFrame:
-    """Paths that a run manifest names but that are not among the files ``present`` (company_id, run_id, path)."""
-    return manifest_paths.filter("path is not null").join(present, [*RUN, "path"], "left_anti")
+    """Paths that a run manifest names but that are not among the files ``present`` (company_id, run_id, path); a run without paths has none."""
+    gone = manifest_paths.filter("path is not null").select(*RUN, "path").distinct().join(present.select(*RUN, "path").distinct(), [*RUN, "path"], "left_anti")
+    return gone.withColumn("problem", F.concat(F.lit("missing path: "), "path"))
 
 
 def stale_sources(inventory: DataFrame, now: str, days: int = 180) -> DataFrame:
@@ -131,4 +144,5 @@ def gate_report(runs: DataFrame, problems: dict[str, DataFrame]) -> DataFrame:
 
 
 def runs_passed(report: DataFrame) -> DataFrame:
+    """The verdict on each run: all of its gates passed."""
     return report.groupBy(*RUN).agg(F.every("passed").alias("passed"))

@@ -67,7 +67,7 @@ def errors(rules: Sequence[Rule]) -> Column:
         def message(e: Column, i: Column, r: Rule = r, head: str = head, tail: str = tail) -> Column:
             return F.when(e.isNotNull() & _broken(_field(e, tail.split(".")), r), F.concat(F.lit(f"{head}/"), i.cast("string"), F.lit(f"/{tail.replace('.', '/')}: {r.kind}")))
 
-        parts.append(F.coalesce(F.array_compact(F.transform(head, message)), F.array().cast("array<string>")))
+        parts.append(F.coalesce(F.array_compact(F.transform(head, lambda e, i: message(e, i))), F.array().cast("array<string>")))
     return F.concat(*parts)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import ids, names, pystr, text
@@ -205,18 +205,26 @@ union all select company_id, to_run, source_id, 'unavailable', null from j where
 union all select company_id, to_run, source_id, 'changed', coalesce(nullif(nv.d, ''), 'content_change') from j where os is not null and ns is not null and nv.s is distinct from 'unavailable' and ov.h is distinct from nv.h
 """)
 def compare_runs(spark: SparkSession, folder: str) -> DataFrame:
-    before, after = diff.consecutive(table(spark, folder, "source_inventory"))
-    return diff.compare_inventories(before, after, ["company_id", "to_run"])
+    return diff.consecutive_changes(table(spark, folder, "source_inventory"))
 
 
 @registered("""
-with m as (select r_regionkey k, 's' || (r_regionkey % 2) a, 'p' || (r_regionkey % 3) b from region)
-select x.k from_k, y.k to_k, case when x.a <> y.a then 'schema_delta' when x.b <> y.b then 'extraction_delta' else 'source_delta' end delta_type from m x join m y on x.k < y.k
+with r as (select company_id, run_id, lag(run_id) over (partition by company_id order by run_id) from_run from (select distinct company_id, run_id from source_inventory where company_id is not null and run_id is not null)),
+v as (select company_id, from_run, run_id to_run, substr(from_run, 1, 4) fs, substr(run_id, 1, 4) ts, case when substr(from_run, 6, 1) = '0' then '' else coalesce(nullif(substr(from_run, 5, 1), '1'), 'None') end fp,
+  case when substr(run_id, 6, 1) = '0' then '' else coalesce(nullif(substr(run_id, 5, 1), '1'), 'None') end tp from r where from_run is not null)
+select company_id, from_run, to_run, case when fs <> ts then 'schema_delta' when fp <> tp then 'extraction_delta' else 'source_delta' end delta_type from v
 """)
 def delta_types(spark: SparkSession, folder: str) -> DataFrame:
-    m = table(spark, folder, "region").select(F.col("r_regionkey").alias("k"), F.concat(F.lit("s"), (F.col("r_regionkey") % 2).cast("string")).alias("schema_set_hash"), F.concat(F.lit("p"), (F.col("r_regionkey") % 3).cast("string")).alias("prompt_set_hash"))
-    x, y = (m.select(*[F.col(c).alias(f"{p}_{c}") for c in m.columns]) for p in ("from", "to"))
-    return diff.delta_type(x.join(F.broadcast(y), F.col("from_k") < F.col("to_k"))).select("from_k", "to_k", "delta_type")
+    """Neighbouring runs of each company; the year of a run stands for its schemas, a digit of its month for its prompts (missing for
+    some runs, null for others)."""
+    runs = table(spark, folder, "source_inventory").select("company_id", "run_id").dropna().distinct()
+    pairs = runs.withColumn("from_run", F.lag("run_id").over(Window.partitionBy("company_id").orderBy("run_id"))).filter("from_run is not null").withColumnRenamed("run_id", "to_run")
+
+    def repro(run: str):
+        schema = F.create_map(F.lit("schema_set_hash"), F.substring(run, 1, 4))
+        return F.when(F.substring(run, 6, 1) == "0", schema).otherwise(F.map_concat(schema, F.create_map(F.lit("prompt_set_hash"), F.nullif(F.substring(run, 5, 1), F.lit("1")))))
+
+    return diff.delta_type(pairs.withColumns({"from_repro": repro("from_run"), "to_repro": repro("to_run")})).select("company_id", "from_run", "to_run", "delta_type")
 
 
 ITEMS_SQL = """
@@ -240,14 +248,32 @@ def merge_financials(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("company_id", "run_id", "scope", "period_id", "taxonomy_key", F.size("members").cast("long").alias("n_members"), "reason", members.alias("members"), "conflict_id", "value")
 
 
-@registered("""
-with e as (select p_type entity_type, p_name family, nullif(p_brand, 'Brand#11') lifecycle_status from part),
-g as (select entity_type, family, count(*) n_members, count(distinct coalesce(lifecycle_status, '<none>')) d, min(lifecycle_status) l from e group by 1, 2)
-select entity_type, family, case when d > 1 then 'cf_' || substr(sha256('product|' || entity_type || '|' || family), 1, 12) end conflict_id, n_members, case when d = 1 then l end lifecycle_status from g
-""")
+PRODUCT_SQL = """
+with e as (select 'c' || p_size % 5 company_id, 'r' || p_size % 3 run_id, 'art_' || p_partkey artifact_id, 'src_' || p_size source_id, p_type entity_type, p_brand family, p_name as name, nullif(cast(p_size % 3 as varchar), '2') lifecycle_status from part where p_size <> 7),
+g as (select company_id, run_id, entity_type, family, count(*) n, count(distinct coalesce(lifecycle_status, '<none>')) d, min(lifecycle_status) l, string_agg(artifact_id || '=' || name, ',' order by artifact_id, source_id) members from e group by all)
+"""
+
+
+def _products(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as product artifacts with one entity each, a null element beside it; some have no candidate."""
+    candidate = F.when(F.col("p_size") != 7, F.struct(F.col("p_brand").alias("family"), F.lit(0.9).alias("confidence")))
+    entity = F.struct(F.col("p_type").alias("entity_type"), F.col("p_name").alias("source_native_name"), F.nullif((F.col("p_size") % 3).cast("string"), F.lit("2")).alias("lifecycle_status"), candidate.alias("normalized_candidate"))
+    named = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    return table(spark, folder, "part").select(named("c", F.col("p_size") % 5).alias("company_id"), named("r", F.col("p_size") % 3).alias("run_id"), named("art_", F.col("p_partkey")).alias("artifact_id"), named("src_", F.col("p_size")).alias("source_id"), F.array(entity, F.lit(None)).alias("entities"))
+
+
+@registered(PRODUCT_SQL + """select company_id, run_id, entity_type, family, case when d > 1 then 'cf_' || substr(sha256('product|' || entity_type || '|' || family), 1, 12) end conflict_id, case when d = 1 then l end lifecycle_status, n n_members, members from g""")
 def merge_products(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part").select(F.col("p_type").alias("entity_type"), F.col("p_name").alias("family"), F.nullif("p_brand", F.lit("Brand#11")).alias("lifecycle_status"))
-    return merge.merge_products(part)
+    merged = merge.merge_products(merge.product_observations(_products(spark, folder)))
+    members = F.array_join(F.transform("members", lambda m: F.concat(m["artifact_id"], F.lit("="), m["value"])), ",")
+    return merged.select("company_id", "run_id", "entity_type", "family", "conflict_id", "lifecycle_status", F.size("members").cast("long").alias("n_members"), members.alias("members"))
+
+
+@registered(PRODUCT_SQL + "select company_id, run_id, 'product' part, count(*) filter (d = 1) merged, count(*) filter (d > 1) conflicts from g group by all union all select company_id, run_id, 'financial', count(*) filter (reason is null), count(reason) from (" + ITEMS_SQL + "select * from f) group by all")
+def merged_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """What each run merged and what it left in conflict, financial figures and products."""
+    financials = merge.merge_financials(merge.financial_observations(table(spark, folder, "financial_artifact")))
+    return merge.merged_output(financials, merge.merge_products(merge.product_observations(_products(spark, folder)))).drop("document")
 
 
 REF_SQL = """select distinct company_id, run_id, artifact_id, 'source_id ' || source_id || ' not in inventory' problem from financial_artifact a
@@ -290,35 +316,95 @@ def gate_financial_usability(spark: SparkSession, folder: str) -> DataFrame:
     return quality.financial_usability(table(spark, folder, "financial_artifact"))
 
 
-@registered(STATE_SQL + """, last as (select company_id, max(run_id) run_id from source_inventory group by 1)
+REFRESH_SQL = STATE_SQL + """, last as (select company_id, max(run_id) run_id from source_inventory group by 1)
 select s.company_id, l.run_id, s.entity_id source_id from state s join last l using (company_id) where s.status in ('active', 'reappeared')
-  and not exists (select 1 from source_inventory i where i.company_id = s.company_id and i.run_id = l.run_id and i.source_id = s.entity_id)""")
+  and not exists (select 1 from source_inventory i where i.company_id = s.company_id and i.run_id = l.run_id and i.source_id = s.entity_id)"""
+
+
+@registered(REFRESH_SQL)
 def gate_refresh_semantics(spark: SparkSession, folder: str) -> DataFrame:
     inv = table(spark, folder, "source_inventory")
     latest = inv.groupBy("company_id").agg(F.max("run_id").alias("run_id"))
     return quality.refresh_drops(_log(spark, folder), inv, latest)
 
 
-@registered(USE_SQL + ", p as (select 'referential_integrity' gate, company_id, run_id from (" + REF_SQL + ") union all select 'lineage_complete', company_id, run_id from (" + LINEAGE_SQL + ") union all select 'id_integrity', company_id, run_id from (" + IDS_SQL + """)
-  union all select 'financial_usability', company_id, run_id from u), r as (select distinct company_id, run_id from financial_artifact), g as (select unnest(['referential_integrity', 'lineage_complete', 'id_integrity', 'financial_usability']) gate, unnest(range(4)) o),
-c as (select gate, company_id, run_id, count(*) n from p group by all)
-select r.company_id, r.run_id, g.gate, cast(g.o as int) ordinal, c.n is null passed, coalesce(c.n, 0) n_problems from r cross join g left join c on c.gate = g.gate and c.company_id = r.company_id and c.run_id = r.run_id""")
-def gate_report(spark: SparkSession, folder: str) -> DataFrame:
-    artifacts = table(spark, folder, "financial_artifact")
-    problems = {"referential_integrity": gate_referential_integrity(spark, folder), "lineage_complete": gate_lineage_complete(spark, folder), "id_integrity": gate_id_integrity(spark, folder), "financial_usability": gate_financial_usability(spark, folder)}
-    return quality.gate_report(artifacts, problems)
+#: Claims of dossiers stand in the artifact log here: an event is a claim that cites its artifact, an unavailable one cites nothing.
+CITED_SQL = """select distinct company_id, run_id, entity_id artifact_id, 'citation not in artifact set' problem from artifact_registry l where event_type <> 'unavailable' and entity_id is not null
+  and not exists (select 1 from financial_artifact a where a.company_id = l.company_id and a.run_id = l.run_id and a.artifact_id = l.entity_id)"""
+UNCITED_SQL = "select company_id, run_id, cast(null as varchar) artifact_id, 'dossier claim (fact) has no citations: ' || substr(event_id, 1, 60) problem from artifact_registry where event_type = 'unavailable'"
+CLOSURE_SQL = """select distinct company_id, run_id, 'structured/' || entity_id || '.json' path from artifact_registry l where event_type = 'extracted' and entity_id is not null
+  and not exists (select 1 from financial_artifact a where a.company_id = l.company_id and a.run_id = l.run_id and a.artifact_id = l.entity_id)"""
+ARTIFACT_ERRORS_SQL = """
+with one as (select company_id, run_id, artifact_id, list_concat(list_filter([case when not regexp_matches(artifact_id, '^art_[0-9a-f]{16}$') then 'artifact_id: pattern' end, case when not regexp_matches(source_id, '^src_[0-9a-f]{16}$') then 'source_id: pattern' end,
+    case when lineage is null then 'lineage: required' end], lambda x: x is not null),
+  flatten(list_transform(range(len(periods)), lambda i: list_filter([case when periods[i + 1].period_type not in ('FY', 'Q', 'TTM', 'LTM', 'YTD') then 'periods/' || i || '/period_type: enum' end,
+    case when periods[i + 1].unit_scale not in ('ones', 'thousands', 'millions', 'billions') then 'periods/' || i || '/unit_scale: enum' end], lambda x: x is not null))),
+  flatten(list_transform(range(len(line_items)), lambda i: list_filter([case when line_items[i + 1].scope not in ('consolidated', 'segment', 'subsidiary', 'non_gaap') then 'line_items/' || i || '/scope: enum' end,
+    case when line_items[i + 1].sign_convention not in ('positive', 'negative', 'as_reported') then 'line_items/' || i || '/sign_convention: enum' end,
+    case when line_items[i + 1].normalized_candidate.confidence not between 0 and 1 then 'line_items/' || i || '/normalized_candidate/confidence: range' end], lambda x: x is not null)))) errors from financial_artifact)
+"""
+INVENTORY_ERRORS_SQL = """select company_id, run_id, source_id, unnest(list_filter([case when not regexp_matches(source_id, '^src_[0-9a-f]{16}$') then 'source_id: pattern' end,
+    case when source_priority not in ('primary', 'secondary', 'signal') then 'source_priority: enum' end, case when retrieval_status not in ('ok', 'unavailable', 'error') then 'retrieval_status: enum' end,
+    case when diff_class not in ('unchanged', 'cosmetic_change', 'table_change', 'content_change', 'unavailable', 'new') then 'diff_class: enum' end], lambda x: x is not null)) error from source_inventory"""
+
+
+def _dossiers(spark: SparkSession, folder: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "validated", "evidence").when(F.col("event_type") == "superseded", "inference").otherwise("fact")
+    cited = F.when(F.col("event_type") == "unavailable", F.array().cast("array<string>")).otherwise(F.array("entity_id"))
+    claims = table(spark, folder, "artifact_registry").groupBy("company_id", "run_id").agg(F.collect_list(F.struct(F.col("event_id").alias("text"), kind.alias("kind"), cited.alias("citations"))).alias("claims"))
+    return claims.select("company_id", "run_id", F.array(F.struct(F.lit("log").alias("key"), F.col("claims"))).alias("sections"))
+
+
+@registered(CITED_SQL + " union all " + UNCITED_SQL)
+def gate_dossiers(spark: SparkSession, folder: str) -> DataFrame:
+    dossiers, artifacts = _dossiers(spark, folder), table(spark, folder, "financial_artifact")
+    return quality.dossier_references(dossiers, artifacts).select("company_id", "run_id", "artifact_id", "problem").unionByName(quality.uncited_claims(dossiers))
+
+
+@registered(CLOSURE_SQL)
+def gate_manifest_closure(spark: SparkSession, folder: str) -> DataFrame:
+    """The log's extractions as the paths of the runs' manifests, against the artifacts that are there."""
+    path = lambda c: F.concat(F.lit("structured/"), c, F.lit(".json")).alias("path")
+    named = table(spark, folder, "artifact_registry").filter("event_type = 'extracted'").select("company_id", "run_id", path(F.col("entity_id")))
+    return quality.missing_paths(named, table(spark, folder, "financial_artifact").select("company_id", "run_id", path(F.col("artifact_id")))).drop("problem")
+
+
+_RUNS_SQL = "select distinct company_id, run_id from financial_artifact union select distinct company_id, run_id from source_inventory union select distinct company_id, run_id from artifact_registry"
+_GATES_SQL = "['" + "', '".join(quality.GATES) + "']"
+REPORT_SQL = (
+    "with p as (select 'schemas_valid' gate, company_id, run_id from (" + ARTIFACT_ERRORS_SQL + "select company_id, run_id, unnest(errors) e from one) union all select 'schemas_valid', company_id, run_id from (" + INVENTORY_ERRORS_SQL + ")"
+    " union all select 'referential_integrity', company_id, run_id from (" + REF_SQL + ") union all select 'referential_integrity', company_id, run_id from (" + CITED_SQL + ")"
+    " union all select 'lineage_complete', company_id, run_id from (" + LINEAGE_SQL + ") union all select 'lineage_complete', company_id, run_id from (" + UNCITED_SQL + ")"
+    " union all select 'id_integrity', company_id, run_id from (" + IDS_SQL + ") union all select 'financial_usability', company_id, run_id from (" + USE_SQL + "select * from u)"
+    " union all select 'manifest_closure', company_id, run_id from (" + CLOSURE_SQL + ") union all select 'refresh_semantics', company_id, run_id from (" + REFRESH_SQL + ")"
+    " union all select 'conflict_visibility', company_id, run_id from (" + ITEMS_SQL + "select company_id, run_id from f where reason is not null)),"
+    " r as (" + _RUNS_SQL + "), g as (select unnest(" + _GATES_SQL + ") gate, unnest(range(8)) o), c as (select gate, company_id, run_id, count(*) n from p group by all),"
+    " t as (select r.company_id, r.run_id, g.gate, cast(g.o as int) ordinal, c.n is null or g.gate = 'conflict_visibility' passed, coalesce(c.n, 0) n_problems from r cross join g"
+    " left join c on c.gate = g.gate and c.company_id is not distinct from r.company_id and c.run_id is not distinct from r.run_id)"
+)
 
 
-@registered()
-def gate_report_all(spark: SparkSession, folder: str) -> DataFrame:
-    """``gate_report`` with all gates that the tables allow, over the runs of artifacts and of the inventory."""
-    artifacts, inventory = table(spark, folder, "financial_artifact"), table(spark, folder, "source_inventory")
+@registered(REPORT_SQL + " select * from t")
+def gate_report(spark: SparkSession, folder: str) -> DataFrame:
+    """All eight gates of every run that has artifacts, an inventory or a log."""
+    artifacts, inventory, dossiers = table(spark, folder, "financial_artifact"), table(spark, folder, "source_inventory"), _dossiers(spark, folder)
     problems = {
         "schemas_valid": validate.invalid_rows(artifacts, "financial_artifact", quality.RUN).unionByName(validate.invalid_rows(inventory, "source_inventory", quality.RUN)),
-        "referential_integrity": gate_referential_integrity(spark, folder), "lineage_complete": gate_lineage_complete(spark, folder), "id_integrity": gate_id_integrity(spark, folder),
-        "financial_usability": gate_financial_usability(spark, folder), "refresh_semantics": gate_refresh_semantics(spark, folder), "conflict_visibility": quality.conflicts(artifacts),
+        "referential_integrity": quality.referential_integrity(artifacts, inventory, dossiers), "lineage_complete": quality.lineage_complete(artifacts, dossiers), "id_integrity": gate_id_integrity(spark, folder),
+        "financial_usability": gate_financial_usability(spark, folder), "manifest_closure": gate_manifest_closure(spark, folder), "refresh_semantics": gate_refresh_semantics(spark, folder), "conflict_visibility": quality.conflicts(artifacts),
     }
-    return quality.gate_report(artifacts.select(*quality.RUN).unionByName(inventory.select(*quality.RUN)), problems)
+    runs = [t.select(*quality.RUN) for t in (artifacts, inventory, table(spark, folder, "artifact_registry"))]
+    return quality.gate_report(runs[0].unionByName(runs[1]).unionByName(runs[2]), problems)
+
+
+@registered(REPORT_SQL + " select company_id, run_id, bool_and(passed) passed from t group by all")
+def run_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.runs_passed(gate_report(spark, folder))
+
+
+@registered("select distinct company_id, run_id, artifact_id, source_id from financial_artifact where source_id <> ''")
+def referenced_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.referenced_sources(table(spark, folder, "financial_artifact"))
 
 
 @registered(f"""select distinct company_id, run_id, source_id, last_seen_at from source_inventory where try_cast(regexp_replace(last_seen_at, 'Z$', '') as timestamp) < timestamp '{NOW}' - interval 180 days""")
@@ -347,12 +433,7 @@ def missing_classes(spark: SparkSession, folder: str) -> DataFrame:
     return quality.missing_classes(table(spark, folder, "source_inventory"), ["business_register", "regulatory_filing", "sanctions_list"])
 
 
-@registered("""
-select source_id, error, count(*) n from (
-  select source_id, unnest(list_filter([case when not regexp_matches(source_id, '^src_[0-9a-f]{16}$') then 'source_id: pattern' end,
-    case when source_priority not in ('primary', 'secondary', 'signal') then 'source_priority: enum' end, case when retrieval_status not in ('ok', 'unavailable', 'error') then 'retrieval_status: enum' end,
-    case when diff_class not in ('unchanged', 'cosmetic_change', 'table_change', 'content_change', 'unavailable', 'new') then 'diff_class: enum' end], lambda x: x is not null)) error from source_inventory) group by all
-""")
+@registered("select source_id, error, count(*) n from (" + INVENTORY_ERRORS_SQL + ") group by all")
 def validate_inventory(spark: SparkSession, folder: str) -> DataFrame:
     return validate.invalid_rows(table(spark, folder, "source_inventory"), "source_inventory", ["source_id"]).groupBy("source_id", "error").agg(F.count("*").alias("n"))
 
@@ -367,7 +448,7 @@ def validate_events(spark: SparkSession, folder: str) -> DataFrame:
     return validate.invalid_rows(_log(spark, folder), "source_event", ["event_id"]).groupBy("error").agg(F.count("*").alias("n"))
 
 
-@registered()
+@registered(ARTIFACT_ERRORS_SQL + "select artifact_id, unnest(errors) error from one")
 def validate_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     return validate.invalid_rows(table(spark, folder, "financial_artifact"), "financial_artifact", ["artifact_id"])
 

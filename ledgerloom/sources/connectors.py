@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import base64
 import ipaddress
+import os
 from collections.abc import Callable, Iterator
-from urllib.parse import urlencode, urlsplit
+from urllib.parse import urlencode, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -158,6 +159,37 @@ def public_url(url: pd.Series, addresses: pd.Series) -> pd.Series:
     return pd.Series([is_public(u, a) for u, a in zip(url, addresses)])
 
 
+#: How many redirects are followed, how many bytes a response may have, and the name given where none is (fixed values).
+MOST_REDIRECTS, MOST_BYTES, AGENT = 5, 50 << 20, "ledgerloom/1.0 (contact: set LEDGERLOOM_USER_AGENT)"
+
+
+def user_agent(given: str | None = None) -> str:
+    """The given name, else that of the environment, else the default; blanks don't count."""
+    return next(a.strip() for a in (given, os.environ.get("LEDGERLOOM_USER_AGENT"), AGENT) if a and a.strip())
+
+
+def guarded_get(url: str, client: Callable[[str, dict], tuple[int, dict, bytes]], resolver: Callable[[str], list[str]], *, agent: str | None = None, most_bytes: int = MOST_BYTES) -> tuple[bytes, dict]:
+    """(content, {status, content_type, final_url}) through an injected ``client`` (url, headers) -> (status, headers, content).
+
+    The URL and every redirect target must be public; too many redirects and too large responses raise.
+    """
+    for _ in range(MOST_REDIRECTS + 1):
+        try:
+            addresses = resolver(urlsplit(url).hostname or "")
+        except OSError:
+            addresses = []
+        if not is_public(url, addresses):
+            raise Unavailable(f"not a public address: {url}")
+        status, headers, content = client(url, {"User-Agent": user_agent(agent)})
+        named = {k.lower(): v for k, v in headers.items()}
+        if status not in (301, 302, 303, 307, 308) or not named.get("location"):
+            if len(content) > most_bytes:
+                raise Unavailable(f"more than {most_bytes} bytes: {url}")
+            return content, {"status": status, "content_type": named.get("content-type"), "final_url": url}
+        url = urljoin(url, named["location"])
+    raise Unavailable(f"more than {MOST_REDIRECTS} redirects")
+
+
 def fetch_rows(urls: DataFrame, fetcher: Callable[[str], bytes] | None = None) -> DataFrame:
     """(url, raw) of a frame of URLs through an injected fetcher; without one nothing is fetched."""
     if fetcher is None:

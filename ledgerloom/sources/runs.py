@@ -11,27 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import stamp
+from ledgerloom.operators import schemas
+from ledgerloom.operators.schemas import MODES
 from ledgerloom.operators.screening import screen
 from ledgerloom.sources import lists
 from ledgerloom.sources.connectors import LISTS
 from ledgerloom.sources.sinks import atomic_json
 
-#: Folders of a run and the modes it may have (fixed values).
+#: Folders of a run (fixed values).
 SUBFOLDERS = ["raw_sources", "raw_artifacts", "extracted_tables", "structured", "reports", "logs"]
-MODES = ["full_refresh", "incremental_refresh", "source_discovery_only", "source_retrieval_only", "extraction_only", "validation_only", "dossier_only", "compare_runs"]
 
 
-def create_run(root: str, company: str, mode: str, now: datetime, token: str) -> Path:
-    """A new run folder with its manifest; an existing run, a bad token or an unknown mode raises."""
+def seed_manifest(run_id: str, company: str, name: str, mode: str, now: datetime, parameters: dict | None = None) -> dict:
+    """The manifest of a run that has done nothing yet."""
+    started = datetime.strptime(stamp(now), "%Y%m%dT%H%M%SZ").strftime("%Y-%m-%dT%H:%M:%SZ")
+    counts = ("sources_discovered", "sources_retrieved", "sources_new", "sources_changed", "sources_unavailable", "artifacts_extracted")
+    unset = dict.fromkeys(("prompt_set_hash", "schema_set_hash", "model_id", "locale"))
+    return (
+        {"run_id": run_id, "company_id": company, "company_name": name, "started_at": started, "completed_at": None, "mode": mode, "input_parameters": parameters or {}}
+        | {"reproducibility": unset | {"tool_versions": {}, "normalizer_profile_versions": {}}, "schemas_validated": False}
+        | dict.fromkeys(counts, 0) | {k: [] for k in ("output_paths", "warnings", "errors")}
+    )
+
+
+def create_run(root: str, company: str, mode: str, now: datetime, token: str, name: str | None = None, parameters: dict | None = None) -> Path:
+    """A new run folder with its validated manifest; an existing run, a bad token, an unknown mode or an invalid manifest raises."""
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     if not re.fullmatch("[0-9a-z]{4,12}", token):
         raise ValueError(f"bad token: {token}")
     run = Path(root) / company / "runs" / f"{stamp(now)}-{token}"
+    manifest = seed_manifest(run.name, company, name or company, mode, now, parameters)
+    if errors := list(schemas.broken(manifest, schemas.SCHEMAS["run_manifest"])):
+        raise ValueError(f"invalid manifest: {errors}")
     run.mkdir(parents=True, exist_ok=False)
     for s in SUBFOLDERS:
         (run / s).mkdir()
-    atomic_json(str(run / "run_manifest.json"), {"company_id": company, "run_id": run.name, "mode": mode, "started_at": stamp(now)})
+    atomic_json(str(run / "run_manifest.json"), manifest)
     return run
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import random
 import subprocess
 import sys
@@ -8,7 +9,7 @@ from pathlib import Path
 from conftest import rows
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import diff, eventlog, inventory, merge, quality, screening, validate
+from ledgerloom.operators import schemas, diff, eventlog, inventory, merge, quality, screening, validate
 
 ROOT = Path(__file__).resolve().parents[1]
 EVENT = "company_id string, run_id string, entity_id string, event_time string, event_id string, event_type string, payload string, ingest_seq long"
@@ -105,14 +106,50 @@ def test_report_of_all_gates(spark):
     from ledgerloom.plans import reference_queries as q
 
     folder = "/root/testdata/sf0.001"
-    got = q.gate_report_all(spark, folder).collect()
-    order = [g for g in quality.GATES if g != "manifest_closure"]
-    runs = {(r.company_id, r.run_id) for t in ("financial_artifact", "source_inventory") for r in spark.read.parquet(f"{folder}/{t}.parquet").collect()}
-    assert len(got) == len(runs) * 7 and {(r.gate, r.ordinal) for r in got} == {(g, i) for i, g in enumerate(order)}
-    n = {g: sum(r.n_problems for r in got if r.gate == g) for g in order}
+    got = q.gate_report(spark, folder).collect()
+    tables = ("financial_artifact", "source_inventory", "artifact_registry")
+    runs = {(r.company_id, r.run_id) for t in tables for r in spark.read.parquet(f"{folder}/{t}.parquet").select("company_id", "run_id").collect()}
+    assert len(got) == len(runs) * 8 and {(r.gate, r.ordinal) for r in got} == {(g, i) for i, g in enumerate(quality.GATES)}
+    n = {g: sum(r.n_problems for r in got if r.gate == g) for g in quality.GATES}
     assert n["refresh_semantics"] == q.gate_refresh_semantics(spark, folder).count() and n["conflict_visibility"] == q.merge_financials(spark, folder).filter("reason is not null").count() > 0
     assert n["schemas_valid"] == q.validate_artifacts(spark, folder).count() + sum(r.n for r in q.validate_inventory(spark, folder).collect())
     assert all(r.passed == (r.n_problems == 0 or r.gate == "conflict_visibility") for r in got)
+    verdicts = {(r.company_id, r.run_id): r.passed for r in q.run_verdicts(spark, folder).collect()}
+    assert verdicts == {k: all(r.passed for r in got if (r.company_id, r.run_id) == k) for k in runs}
+
+
+def test_products_and_merged_output(spark):
+    entity = "struct<entity_type: string, source_native_name: string, lifecycle_status: string, normalized_candidate: struct<family: string, confidence: double>>"
+    e = lambda family, life, name="n": ("tier", name, life, family and (family, 0.5))
+    data = [("A", "r", "art_2", "s1", [e("x", "live", "two"), None, e(None, "live")]), ("A", "r", "art_1", "s1", [e("x", "live", "one"), e("y", None)]), ("A", "r", "art_3", "s1", [e("y", "live"), e("z", None)]), ("A", "r", "art_4", "s1", None)]
+    df = spark.createDataFrame(data, f"company_id string, run_id string, artifact_id string, source_id string, entities array<{entity}>")
+    merged = merge.merge_products(merge.product_observations(df))
+    got = {r.family: r for r in merged.collect()}
+    assert [m.value for m in got["x"].members] == ["one", "two"] and got["x"].lifecycle_status == "live" and got["x"].conflict_id is None
+    assert got["y"].conflict_id.startswith("cf_") and got["y"].lifecycle_status is None and got["z"].conflict_id is None
+    figures = spark.createDataFrame([], "company_id string, run_id string, scope string, period_id string, taxonomy_key string, conflict_id string, value double")
+    out = merge.merged_output(figures, merged).collect()
+    assert [(r.part, r.merged, r.conflicts) for r in out] == [("product", 2, 1)] and [x["family"] for x in json.loads(out[0].document)] == ["x", "y", "z"]
+
+
+def test_delta_types_tell_missing_from_null(spark):
+    schema = "k int, from_repro map<string,string>, to_repro map<string,string>"
+    data = [(1, {"schema_set_hash": "a"}, {"schema_set_hash": "b", "model_id": "m"}), (2, {"model_id": None}, {}), (3, {"model_id": None}, {"model_id": None, "locale": "x"}), (4, None, {}), (5, {"prompt_set_hash": "p"}, {"prompt_set_hash": "q"})]
+    assert rows(diff.delta_type(spark.createDataFrame(data, schema)).select("k", "delta_type")) == [(1, "schema_delta"), (2, "extraction_delta"), (3, "source_delta"), (4, "source_delta"), (5, "extraction_delta")]
+
+
+def test_json_schemas(spark):
+    claim = {"text": "t", "kind": "fact", "citations": []}
+    doc = {"run_id": "r", "company_id": "c", "research_date": "2026-01-01T00:00:00Z", "retrieval_window": {"from": "2026-01-01T00:00:00Z", "to": "2026-01-01T00:00:00Z"}, "counts": dict.fromkeys(("sources_discovered", "sources_used", "sources_changed", "sources_unavailable"), 0), "known_gaps": [], "confidence_summary": "low", "sections": [{"key": "k", "title": "t", "claims": [claim]}]}
+    bad = doc | {"run_id": "", "counts": doc["counts"] | {"sources_used": -1, "sources_changed": True, "sources_unavailable": 1.5}, "confidence_summary": None, "extra": 1, "sections": [{"key": "k", "claims": [claim | {"kind": "guess"}, 3]}]}
+    del bad["company_id"]
+    texts = [json.dumps(doc), json.dumps(bad), "{", "[]", None]
+    got = [r.e for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).orderBy("i").select(schemas.json_errors(F.col("t"), "company_dossier").alias("e")).collect()]
+    assert got[0] == [] and got[2:] == [[".: json"], [".: type"], []]
+    assert got[1] == sorted(["run_id: minLength", "company_id: required", "counts/sources_used: range", "counts/sources_changed: type", "counts/sources_unavailable: type", "confidence_summary: type", "extra: additionalProperties", "sections/0/title: required", "sections/0/claims/0/kind: enum", "sections/0/claims/1: type"])
+    degraded = [r.e for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).orderBy("i").select(schemas.structural_errors(F.col("t"), "company_dossier").alias("e")).collect()]
+    assert degraded == [[], ["company_id: required"], [".: type"], [".: type"], []]
+    assert list(schemas.broken({}, schemas.SOME)) == [": minProperties"]
 
 
 def test_rules(spark):

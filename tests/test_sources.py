@@ -167,3 +167,60 @@ def test_runs_and_list_screening(spark, tmp_path):
     assert "- a: PASS — 0 problems\n- b: FAIL — 2 problems" in runs.report_markdown(report)
     t = spark.createDataFrame([("2024-05-06T07:08:09Z", "junk")], "a string, b string").select(dates.iso_utc(dates.parse_iso(F.col("a"))), dates.compact_stamp(dates.parse_iso(F.col("a"))), dates.older_than(F.col("a"), F.lit("2024-12-01").cast("timestamp"), 180), dates.older_than(F.col("b"), F.lit("2024-12-01").cast("timestamp"), 180))
     assert rows(t) == [("2024-05-06T07:08:09Z", "20240506T070809Z", True, False)]
+
+
+def test_list_files_with_quoted_line_breaks_and_nameless_groups(spark, tmp_path):
+    path = tmp_path / "uk.csv"
+    path.write_text('Report date,x\nUnique ID,Name 6,Name 1,Name type,Type of entity,Regime Name\nU1,,,Alias,First,R1\nU1,"Smith, the ""Elder""\nof X",,Alias,Person,R2\nU1,Boss,,Primary name,Person,R3\nU2,,,Primary name,Ship,R4\n')
+    assert rows(lists.uk_csv(spark, str(path)).select("entry_id", "name", "type", "program", "aliases")) == [("U1", "Boss", "First", "R1", ['Smith, the "Elder" of X']), ("U2", "", "Ship", "R4", [])]
+    path.write_text('Entity_logical_id;Naal_wholename;"Pro;gramme";Subject_type\n1;"A;\nB";x;P\n1;C;y;E\n')
+    assert rows(lists.eu_csv(spark, str(path)).select("entry_id", "name", "type", "aliases")) == [("1", "A;\nB", "P", ["C"])]
+
+
+def test_guarded_get():
+    pages = {"https://a.example/": (302, {"Location": "/b"}, b""), "https://a.example/b": (200, {"Content-Type": "text/x"}, b"body"), "https://loop.example/": (301, {"location": "https://loop.example/"}, b""), "https://in.example/": (302, {"location": "http://10.0.0.1/"}, b"")}
+    asked = []
+
+    def client(url, headers):
+        asked.append((url, headers["User-Agent"]))
+        return pages[url]
+
+    hosts = {"a.example": ["93.184.216.34"], "loop.example": ["93.184.216.34"], "in.example": ["93.184.216.34"], "10.0.0.1": ["10.0.0.1"]}
+    assert connectors.guarded_get("https://a.example/", client, hosts.__getitem__, agent=" me ") == (b"body", {"status": 200, "content_type": "text/x", "final_url": "https://a.example/b"})
+    assert asked[-1] == ("https://a.example/b", "me") and connectors.user_agent(" ") == connectors.AGENT
+    for url, most, why in (("https://loop.example/", 9, "redirects"), ("https://in.example/", 9, "not a public"), ("https://a.example/b", 3, "bytes"), ("ftp://a.example/", 9, "not a public")):
+        with pytest.raises(connectors.Unavailable, match=why):
+            connectors.guarded_get(url, client, hosts.__getitem__, most_bytes=most)
+
+
+def test_lock_publish_history_and_manifest(tmp_path):
+    import json
+
+    from ledgerloom.sources import runs
+
+    with sinks.company_lock(str(tmp_path), "a", now=1000.0):
+        with pytest.raises(RuntimeError, match="locked"), sinks.company_lock(str(tmp_path), "b", now=1001.0):
+            pass
+        with sinks.company_lock(str(tmp_path), "c", now=9999.0):  # the first one is stale by then
+            assert json.loads((tmp_path / ".lock").read_text())["owner"] == "c"
+    assert not list(tmp_path.glob(".lock*"))
+    run = runs.create_run(str(tmp_path), "acme", "full_refresh", datetime(2024, 5, 6, 7, 8, 9), "ab12", name="Acme")
+    manifest = json.loads((run / "run_manifest.json").read_text())
+    assert manifest["company_name"] == "Acme" and manifest["started_at"] == "2024-05-06T07:08:09Z" and manifest["reproducibility"]["locale"] is None
+    assert sinks.publish(str(run), str(tmp_path / "latest"), ["run_manifest.json", "gone.json"], passed=True, history=str(tmp_path / "history"), published_at="t")
+    assert json.loads((tmp_path / "history" / f"{run.name}.json").read_text()) == {"run_id": run.name, "published_at": "t", "passed": True}
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    from ledgerloom import session
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError, match="must name a folder"):
+        session.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="x")))
+
+
+def test_large_cubes_have_exact_positions(spark):
+    got = spark.range(1).select(indicators.positions(F.lit((1 << 60) + 7).cast("long"), F.array(F.lit(1 << 31), F.lit(1 << 20), F.lit(1 << 10)).cast("array<long>")).alias("p")).collect()[0].p
+    assert got == [1 << 30, 0, 7]
