@@ -2,7 +2,7 @@
 
 Two detectors.  ``SLOTS`` finds unresolved template slots inside any record.  Fixed messages go three steps:
 
-1. ``word_weights``: from labelled examples of notices, fillers and page furniture and from a bounded sample of the corpus, how much
+1. ``word_weights``: from labelled examples of notices, fillers and page furniture and from every document of the corpus, how much
    more often a class uses a word than the corpus does (log odds).
 2. ``mine_templates``: a prefix tree of fixed depth over the distinct messages that may be anything but content.  A message goes to
    the leaf of its length, its first words and its telling words (log odds above 0 for some class) with their places; in a leaf, a
@@ -32,8 +32,8 @@ from ledgerloom.session import materialise
 
 #: First words that lead to a leaf, the share of constant places that a template must have, and the templates of a leaf beyond its first.
 DEPTH, SIMILARITY, MORE = 1, 0.5, 2
-#: Documents on whose words the classifier is fitted at most (the bound of its sample).
-SAMPLE = 20_000
+#: Parts of text (many are repeated) whose reading is remembered before a new start; for speed alone.
+REMEMBERED = 100_000
 #: Letters of a word that count, so that inflections are one word.
 STEM = 6
 #: What the corpus's use of words is taken for before it is counted, worth so many words: of function words and of any other word.
@@ -87,6 +87,7 @@ _SPLIT = re.compile(r"(?<=[.!?;:…])[\"'»”)]*\s+|\n+")
 #: Status codes of failed requests; any other word with a digit is a number.
 _CODE = re.compile(r"[45]\d\d")
 _DIGIT = re.compile(r"\d")
+_WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?;:…][\"'»”)\]}]*$")
 
 
@@ -108,19 +109,26 @@ def has_slot(text: str) -> bool:
     return False
 
 
-def messages(text: str) -> list[tuple[str, bool]]:
+def messages(text: str, seen: dict[str, tuple[str, bool]] | None = None) -> list[tuple[str, bool]]:
     """(message, is a sentence) of a text: lines and sentences, in lower case, without markup and punctuation; status codes become
-    ``<code>``, other words with a digit ``<num>``."""
+    ``<code>``, other words with a digit ``<num>``.  ``seen`` remembers the parts read so far; a part without words is ``("", ...)`` there."""
+    seen = {} if seen is None else seen
     bare = _TAG.sub("\n", html.unescape(text) if "&" in text else text)
     out = []
     for part in _SPLIT.split(unicodedata.normalize("NFKC", bare)):
-        words = re.findall(r"[^\W_]+", re.sub(r"['’]", "", part.lower()))
-        if words:
-            out.append((masked(words), bool(_END.search(part.strip()))))
+        found = seen.get(part)
+        if found is None:
+            words = _WORD.findall(part.lower().replace("'", "").replace("’", ""))
+            found = seen[part] = (masked(words), bool(_END.search(part.strip())))
+        if found[0]:
+            out.append(found)
     return out
 
 
-def masked(words: Iterable[str]) -> str:
+def masked(words: list[str]) -> str:
+    line = " ".join(words)
+    if not _DIGIT.search(line):
+        return line
     return " ".join(w if not _DIGIT.search(w) else "<code>" if _CODE.fullmatch(w) else "<num>" for w in words)
 
 
@@ -128,27 +136,34 @@ def stems(message: str) -> list[str]:
     return [w if w[0] == "<" else w[:STEM] for w in message.split()]
 
 
-def word_weights(documents: DataFrame, sample: int = SAMPLE) -> dict[str, dict[str, float]]:
-    """Log odds of each example word by class, against its use in at most about ``sample`` documents (told by a hash of the text).
+def word_weights(documents: DataFrame) -> dict[str, dict[str, float]]:
+    """Log odds of each example word by class, against its use in all documents.
 
-    Distinct messages count, so copies of a notice don't make its words usual.  The driver gets counts of example words only, so at
-    most as many as the examples have.
+    Messages with the same example words in the same order and of the same length count once, so neither copies of a notice nor
+    notices that differ in a name make its words usual.  The driver gets counts of example words only, so at most as many as the
+    examples have.
     """
     seeds = {c: Counter(w for line in lines for w in stems(masked(line.split()))) for c, lines in CLASSES.items()}
-    known = set().union(*seeds.values())
-    texts = documents.select("text").dropna()
-    share = min(1.0, sample / max(1, texts.count()))
-    part = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    known = sorted(set().union(*seeds.values()))
+    place = {w: i for i, w in enumerate(known)}
+
+    def kinds(seen: dict[str, tuple[str, bool]]) -> pd.DataFrame:
+        found = {(tuple(place[w] for w in words if w in place), len(words)) for words in map(stems, {m for m, _ in seen.values() if m})}
+        return pd.DataFrame([(list(words), n) for words, n in found], columns=["words", "n"])
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, tuple[str, bool]] = {}
         for f in frames:
-            found = {m for t in f.text for m, _ in messages(t)}
-            rows = [(m, [w for w in words if w in known], len(words)) for m in found for words in [stems(m)]]
-            yield pd.DataFrame(rows, columns=["msg", "words", "n"])
-
-    once = part.mapInPandas(read, "msg string, words array<string>, n long").withColumn("msg", F.xxhash64("msg")).groupBy("msg").agg(F.first("words").alias("words"), F.first("n").alias("n"))
-    words = once.select(F.explode(F.array_append("words", "")).alias("word"), "n").groupBy("word").agg(F.count("*").alias("n"), F.sum("n").alias("total"))
-    counts = {r.word: (r.n, r.total) for r in words.toLocalIterator()}
+            for t in f.text:
+                messages(t, seen)
+                if len(seen) >= REMEMBERED:
+                    yield kinds(seen)
+                    seen = {}
+        yield kinds(seen)
+
+    once = documents.select("text").dropna().mapInPandas(read, "words array<smallint>, n int").distinct()
+    words = once.select(F.explode(F.array_append("words", F.lit(-1).cast("smallint"))).alias("word"), "n").groupBy("word").agg(F.count("*").alias("n"), F.sum("n").alias("total"))
+    counts = {known[r.word] if r.word >= 0 else "": (r.n, r.total) for r in words.toLocalIterator()}
     total = PRIOR + (counts[""][1] if "" in counts else 0)
     out = {}
     for c, seen in seeds.items():
@@ -190,9 +205,11 @@ def may_tell(message: str, weights: dict[str, dict[str, float]]) -> bool:
     words = stems(message)
     spare = len(words) - math.ceil(SIMILARITY * len(words))
     for c, w in weights.items():
-        good = [x for x in (w.get(v, PENALTY) for v in words) if x > 0]
-        bad = sorted(x for x in (w.get(v, PENALTY) for v in words) if x <= 0)[spare:]
-        if sum(good) + sum(bad) > 0 and good or c == "filler" and stretch(message, w) >= LEAST_STRETCH:
+        rated = [w.get(v, PENALTY) for v in words]
+        good = sum([x for x in rated if x > 0])
+        if good <= 0:
+            continue
+        if good + sum(sorted([x for x in rated if x <= 0])[spare:]) > 0 or c == "filler" and stretch(message, w) >= LEAST_STRETCH:
             return True
     return False
 
@@ -204,11 +221,18 @@ def documents_messages(documents: DataFrame, weights: dict[str, dict[str, float]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, tuple[str, bool]] = {}
+        told: dict[str, bool] = {}
         for f in frames:
             rows = []
             for d, t in zip(f.doc_id, f.text):
-                found = messages(t)
-                kept = [(m, s) for m, s in found if may_tell(m, weights)]
+                if len(seen) >= REMEMBERED:
+                    seen, told = {}, {}
+                found = messages(t, seen)
+                for m, _ in found:
+                    if m not in told:
+                        told[m] = may_tell(m, weights)
+                kept = [(m, s) for m, s in found if told[m]]
                 rows.append((d, has_slot(t), sum(m.count(" ") + 1 for m, s in found if s), [m for m, _ in kept], [s for _, s in kept]))
             yield pd.DataFrame(rows, columns=["doc_id", "slot", "words", "msgs", "ends"])
 

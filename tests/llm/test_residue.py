@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import pytest
 from conftest import rows
 
@@ -89,3 +92,30 @@ def test_mined_templates_decide(spark):
     names = ["Zorban Keltis Marun Velo", "Quilen Astor Benid Yarn", "Ostrik Pelma Dovin Rusk", "Havel Munter Grosk Till", "Ibrik Sanlo Terva Nuun"]
     docs = spark.createDataFrame([(i, f"File {n} not found on the server.") for i, n in enumerate(names)], "doc_id long, text string")
     assert residue.residue_documents(docs).count() == 5 and residue.residue_documents(docs, mine=False).count() == 0
+
+
+def expected_weights(texts):
+    """The log odds by brute force over distinct texts of one message each."""
+    seeds = {c: Counter(w for line in lines for w in residue.stems(residue.masked(line.split()))) for c, lines in residue.CLASSES.items()}
+    known = set().union(*seeds.values())
+    kinds = {(tuple(w for w in words if w in known), len(words)) for words in (residue.stems(residue.messages(t)[0][0]) for t in texts)}
+    counts, total = Counter(w for words, _ in kinds for w in words), residue.PRIOR + sum(n for _, n in kinds)
+    usual = {w: (counts[w] + residue.PRIOR * (residue.USUAL if w in residue.FUNCTION else residue.RARE)) / total for w in known}
+    size = {c: sum(seen.values()) + residue.SMOOTH * len(seen) for c, seen in seeds.items()}
+    return {c: {w: max(-residue.CAP, min(residue.CAP, math.log((n + residue.SMOOTH) / size[c] / usual[w]))) for w, n in seen.items()} for c, seen in seeds.items()}
+
+
+def test_words_of_all_documents_count(spark):
+    """Each of 28 569 different documents counts, so a word that a few of them use does too."""
+    own = "browser cookies server the reload page captcha blocked refresh domain in you menu".split()
+    texts = [" ".join(own[i // 13**k % 13] for k in range(4)) + " tender" for i in range(13**4)] + [f"{'loan ' * n}traceback" for n in range(1, 9)]
+    got = residue.word_weights(spark.createDataFrame([(t,) for t in texts + texts[:50]], "text string").repartition(4))
+    for c, weights in expected_weights(texts).items():
+        assert got[c] == pytest.approx(weights, abs=1e-9)
+
+
+def test_names_in_a_notice_do_not_make_its_words_usual(spark):
+    letters = str.maketrans("0123456789", "bcdfghjklm")
+    notices = [f"The file {str(i).translate(letters)} was not found on this server." for i in range(10000, 13000)]
+    df = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    assert residue.word_weights(df(notices)) == residue.word_weights(df(notices[:1]))
